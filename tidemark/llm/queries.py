@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, quality_rules
+from tidemark.llm import bpe, chat, quality_rules, token_counts
 from tidemark.llm.runtime import table
 
 
@@ -52,6 +52,23 @@ FROM t GROUP BY conv_id
 """
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path and pattern of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return token_counts.limits(token_counts.histogram(token_counts.lengths(docs, *vocabulary())))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.decode(bpe.encode(docs, *vocabulary(), keep=["doc_id"]), *vocabulary(), digest=True, keep=["doc_id", "n_tokens"])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -91,8 +108,13 @@ SELECT *, NOT base_failed AND failed_rule IS NULL AS kept FROM f
 """
 
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_chat_format, op4_token_counts, op5_byte_bpe, op9_quality_rules)
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op9_quality_rules": op9_quality_rules}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
