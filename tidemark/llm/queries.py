@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, minhash, quality_rules, token_counts
+from tidemark.llm import bpe, chat, minhash, quality_rules, suffix_dedup, token_counts
 from tidemark.llm.runtime import table
 
 
@@ -56,6 +56,11 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, span=50, text=False, digest=True)
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -113,7 +118,7 @@ SELECT *, NOT base_failed AND failed_rule IS NULL AS kept FROM f
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op4_token_counts, op5_byte_bpe, op9_quality_rules)
+    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op9_quality_rules)
 }
 
 
