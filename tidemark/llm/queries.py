@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, minhash, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import bpe, chat, decontaminate, minhash, quality_model, quality_rules, suffix_dedup, token_counts
 from tidemark.llm.runtime import table
 
 
@@ -29,6 +29,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,6 +82,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs, *vocabulary(), keep=["doc_id"]), *vocabulary(), digest=True, keep=["doc_id", "n_tokens"])
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no model may learn from: crc32 of the doc_id as text is a multiple of 5; a null doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+#: A text is taken to be good from this score on.
+GOOD = 0.3
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """Trained on the rows of docs and labels that aren't held out; adds score."""
+    known = labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality_model.score(docs, quality_model.train(docs, known), keep)
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -118,7 +142,7 @@ SELECT *, NOT base_failed AND failed_rule IS NULL AS kept FROM f
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op9_quality_rules)
+    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality_model, op9_quality_rules, op10_decontaminate)
 }
 
 
