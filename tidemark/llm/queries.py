@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, html_extract, minhash, quality_model, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import bpe, chat, decontaminate, html_extract, lm_score, minhash, quality_model, quality_rules, suffix_dedup, token_counts
 from tidemark.llm.runtime import table
 
 
@@ -102,6 +102,10 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -147,7 +151,7 @@ SELECT *, NOT base_failed AND failed_rule IS NULL AS kept FROM f
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality_model, op8_html_extract, op9_quality_rules, op10_decontaminate)
+    f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality_model, op7_lm_score, op8_html_extract, op9_quality_rules, op10_decontaminate)
 }
 
 
