@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return keep
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from tidemark.plans import retrieval  # noqa: F401
