@@ -60,7 +60,7 @@ def count_terms(lowered: Column, terms: tuple[str, ...]) -> Column:
             out = out + ((F.length(lowered) - F.length(F.replace(lowered, F.lit(t), F.lit("")))) / len(t)).cast("int")
     words = [t for t in terms if " " not in t]
     for t in words:
-        out = out + F.regexp_count(lowered, F.lit(rf"\b{t}\w*\b"))
+        out = out + F.regexp_count(lowered, F.lit(rf"(?U)\b{t}\w*\b"))
     return out
 
 
