@@ -88,10 +88,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tic, day_no, date, ret): each ticker's events in order stand for its trading days, from one of four first days."""
     e = table(spark, sf_dir, "events").selectExpr("concat('T', cast(user_id % 29 as string)) as tic", "ts", "event_id", "value")
     return e.selectExpr("tic", "row_number() over (partition by tic order by ts, event_id) as day_no", "value").selectExpr(
-        "tic", "day_no", "date_add(date'2010-01-04', cast(day_no * 3 as int)) as date", "value", "round((pmod(cast(value * 100 as bigint), 41) - 20) / 1000.0D, 4) as ret"
+        "tic", "day_no", "date_add(date'2010-01-04', cast(day_no * 3 as int)) as date", "value", "(pmod(cast(value * 100 as bigint), 41) - 20) / 1037.0D as ret"
     )
 
 
 PANEL = """panel AS (
-  SELECT tic, day_no, DATE '2010-01-04' + CAST(day_no * 3 AS INT) AS date, value, round(((CAST(trunc(value * 100) AS BIGINT) % 41 + 41) % 41 - 20) / 1000.0::DOUBLE, 4) AS ret
+  SELECT tic, day_no, DATE '2010-01-04' + CAST(day_no * 3 AS INT) AS date, value, ((CAST(trunc(value * 100) AS BIGINT) % 41 + 41) % 41 - 20) / 1037.0::DOUBLE AS ret
   FROM (SELECT 'T' || (user_id % 29) AS tic, row_number() OVER (PARTITION BY 'T' || (user_id % 29) ORDER BY ts, event_id) AS day_no, value FROM events))"""

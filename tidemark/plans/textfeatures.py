@@ -52,11 +52,11 @@ MEANS = {"risk_intensity": "avg_risk", "sentiment_proxy": "avg_sentiment", "acti
 SIGNALS = ["signal_macro_rates", "signal_energy", "signal_company_risk"]
 
 
-@query("daily_text_features", f"""WITH {CORPUS}, {FEATURES}, e AS (SELECT *, CAST(CAST(available_at AS DATE) AS VARCHAR) AS date, greatest(severity, 0.05) * greatest((doc_id % 20) / 20.0::DOUBLE, 0.01) AS w, unnest(tickers) AS tic FROM f)
+@query("daily_text_features", f"""WITH {CORPUS}, {FEATURES}, e AS (SELECT *, CAST(CAST(available_at AS DATE) AS VARCHAR) AS date, greatest(severity, 0.05) * greatest((doc_id % 97) / 97.0::DOUBLE, 0.01) AS w, unnest(tickers) AS tic FROM f)
 SELECT date, tic, count(*) AS stock_doc_count, count(DISTINCT doc_id) AS stock_unique_doc_count, {', '.join(f'round(coalesce(sum({c} * w) / sum(w), 0), 6) AS stock_{n}' for c, n in MEANS.items())}, round(max(severity), 6) AS stock_max_severity,
   {', '.join(f'CAST(sum({s}) AS BIGINT) AS stock_{s}_count' for s in SIGNALS)}, {', '.join(f'max(CAST({s} > 0 AS INT)) AS stock_{s}_flag' for s in SIGNALS)} FROM e GROUP BY ALL""")
 def daily_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = T.by_ticker(T.document_features(rows(spark, sf_dir))).withColumns({"final_score": F.col("severity"), "decay_weight_30d": F.expr("doc_id % 20 / 20.0D"), "date": F.to_date("available_at").cast("string")})
+    f = T.by_ticker(T.document_features(rows(spark, sf_dir))).withColumns({"final_score": F.col("severity"), "decay_weight_30d": F.expr("doc_id % 97 / 97.0D"), "date": F.to_date("available_at").cast("string")})
     return T.daily_features(f, ["date", "tic"], "stock", MEANS, SIGNALS)
 
 
