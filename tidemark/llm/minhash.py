@@ -3,10 +3,11 @@ r"""Near-duplicates by b-bit MinHash: candidates share a band of minima, packed
 A text is lower-cased (A-Z) and cut into words `[^\x20\x09-\x0D]+`; its set holds the distinct runs of `shingle` words, or the whole
 sequence where there are fewer. Two documents are linked if 100 * intersection >= percent * union; a class is what links reach.
 
-How it stays linear: texts with equal sets collapse to their smallest doc_id first, counted before the shuffle. In each block of a
-band bucket only a star around the member nearest to the block's majority signature is tried, then, between classes that are still
-apart, the likeliest few pairs, and last every pair that the packed bits don't rule out; so a group of copies costs as many pairs as
-it has members, and no link between classes is passed over. Large buckets are dealt out in blocks of BLOCK members.
+How rows stay few: texts with equal sets collapse to their smallest doc_id first, counted before the shuffle. In each band bucket the
+packed bits give a spanning forest of likely pairs; what these forests connect is a neighbourhood, and no link leaves one. The full
+sets of a neighbourhood's members meet once, and give a spanning forest of confirmed links: a pair is confirmed or ruled out unless
+its ends are connected already. So a group of copies costs rows in proportion to its members, and no link between classes is passed
+over. Buckets and neighbourhoods of more than BLOCK members are dealt out as pairs of blocks.
 
 Chances of a miss: no common band at the threshold, under 1e-9 a pair (bands follow from the threshold); packed bits that
 underestimate by more than SLACK deviations, under 1e-5 a pair, and only where that pair alone joins two classes.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut
 
-MINIMA, ROWS, BITS, SLACK, BLOCK, FEW, SMALL = 256, 4, 2, 4.5, 4096, 4, 12
+MINIMA, ROWS, BITS, SLACK, BLOCK = 256, 4, 2, 4.5, 8192
 _rng = np.random.default_rng(1729)
 _XOR = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,11 +103,6 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - unequal / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _unpack(packed: np.ndarray) -> np.ndarray:
-    per = np.arange(0, 64, BITS, dtype=np.uint64)
-    return ((packed[:, :, None] >> per) & np.uint64(2**BITS - 1)).reshape(len(packed), -1).astype(np.uint8)
-
-
 def sign(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, sum_a, sum_b, bands and packed of each row."""
 
@@ -143,110 +139,75 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _members(t: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last row of each run, and the packed bits of all rows."""
-    edge = np.zeros(t.num_rows, dtype=bool)
-    edge[0] = True
-    for k in range(keys):
-        c = t.column(k).to_numpy()
-        edge[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(edge)
-    packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1)
-    return first, np.append(first[1:], t.num_rows), packed
+def _shares(one: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and unions of a sorted set with others."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both, sizes + len(one) - both
 
 
-def stars(members: DataFrame, least: float) -> DataFrame:
-    """Pairs to try in each block (band, salt): all of a small block, else a star around the member nearest to the majority."""
+def _forest(packed: np.ndarray, block: np.ndarray, least: float, sets: list[np.ndarray] | None = None, percent: int = 0) -> list[tuple[int, int]]:
+    """Pairs that connect all that likely pairs connect, or, with the sets, all that confirmed links connect.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 2):
-            ids = t.column("rep").to_numpy()
-            out_a, out_b = [], []
-            for f, e in zip(*(x.tolist() for x in _members(t, 2)[:2]), strict=True):
-                if e - f < 2:
-                    continue
-                packed = np.frombuffer(b"".join(t.column("packed").slice(f, e - f).to_pylist()), dtype=np.uint64).reshape(e - f, -1)
-                if e - f <= SMALL:
-                    i, j = np.triu_indices(e - f, 1)
-                else:
-                    low = _unpack(packed)
-                    votes = np.stack([(low == v).sum(axis=0) for v in range(2**BITS)])
-                    centre = int((low == votes.argmax(axis=0)).sum(axis=1).argmax())
-                    i = np.delete(np.arange(e - f), centre)
-                    j = np.full(len(i), centre)
-                near = (estimates(packed[i], packed[j]) >= least) & (ids[f + i] != ids[f + j])
-                x, y = ids[f + i[near]], ids[f + j[near]]
-                out_a.append(np.minimum(x, y))
-                out_b.append(np.maximum(x, y))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    rows = members.select("band", "salt", "rep", "packed").repartition("band", "salt").sortWithinPartitions("band", "salt")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def between(members: DataFrame, least: float, few: int | None) -> DataFrame:
-    """Pairs of different classes in each block, the `few` likeliest of each member and class, or all that aren't ruled out.
-
-    Rows with fixed = true are in the largest class of their bucket and not compared among themselves; the rest of the bucket
-    is in every block of it, and compared among itself in block 0 alone.
+    If the members are of two blocks, pairs within a block are left to others.
     """
+    n, out = len(packed), []
+    label, cross = np.arange(n), bool((block != block[0]).any())
+    for r in range(1, n):
+        score = estimates(packed[:r], packed[r])
+        near = score >= least
+        if cross:
+            near &= block[:r] != block[r]
+        left, step = np.flatnonzero(near), 8
+        left = left[np.argsort(-score[left], kind="stable")]
+        while len(left):
+            if sets is None:
+                found = left
+            else:
+                part = left[:step]
+                both, union = _shares(sets[r], [sets[i] for i in part])
+                found, left, step = part[100 * both >= percent * union], left[step:], 4 * step
+            for c in found.tolist():
+                if label[c] != label[r]:
+                    out.append((r, c))
+                    label[label == label[c]] = label[r]
+            left = left[label[left] != label[r]]
+    return out
+
+
+def _edges(members: DataFrame, keys: list[str], least: float, percent: int | None = None) -> DataFrame:
+    """The forests of the groups by keys; members has rep, block and packed, and with `percent` own, the set."""
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 2):
-            first, last, packed = _members(t, 2)
-            ids, klass, fixed, salt = (t.column(c).to_numpy() for c in ("rep", "class", "fixed", "salt"))
-            for f, e in zip(first.tolist(), last.tolist(), strict=True):
-                rest = f + np.flatnonzero(~fixed[f:e])
-                rows = np.arange(f, e) if salt[f] == 0 else f + np.flatnonzero(fixed[f:e])
-                out_a, out_b = [], []
-                for r in rest.tolist():
-                    near = estimates(packed[rows], packed[r])
-                    ok = (near >= least) & (klass[rows] != klass[r])
-                    found, score = rows[ok], near[ok]
-                    if few is not None and len(found) > few:
-                        order = np.lexsort((ids[found], -score, klass[found]))
-                        found = found[order]
-                        own = klass[found]
-                        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                        found = found[np.arange(len(found)) - np.repeat(begin, np.diff(np.append(begin, len(found)))) < few]
-                    out_a.append(np.minimum(ids[found], ids[r]))
-                    out_b.append(np.maximum(ids[found], ids[r]))
-                if out_a and sum(map(len, out_a)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    rows = members.select("band", "salt", "rep", "class", "fixed", "packed").repartition("band", "salt").sortWithinPartitions("band", "salt")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, at in B.chunks(*B.utf8(batch.column(1))):
-                hashes, counts = shingle_sets(data, at, shingle)
-                raw = [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(raw, pa.binary())], names=["doc_id", "own"])
-
-    needed = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary"), "sets")
-    side = lambda c: needed.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                p, q = (p, q) if len(p) < len(q) else (q, p)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(p) else 0
-                keep.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(both.mapInArrow(test, "a long, b long").distinct(), "links")
+        for t in _groups(batches, n):
+            ids, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
+            packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1)
+            sets = None if percent is None else [np.frombuffer(x, np.uint64) for x in t.column("own").to_pylist()]
+            edge = np.zeros(t.num_rows, dtype=bool)
+            edge[0] = True
+            for k in range(n):
+                c = t.column(k).to_numpy()
+                edge[1:] |= c[1:] != c[:-1]
+            first = np.flatnonzero(edge).tolist()
+            pairs = [(f + x, f + y) for f, e in zip(first, [*first[1:], t.num_rows], strict=True) if e - f > 1 for x, y in _forest(packed[f:e], block[f:e], least, sets and sets[f:e], percent or 0)]
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+
+    columns = [*keys, "rep", "block", "packed", *["own"] * (percent is not None)]
+    rows = members.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "rep")
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """Adds block and pair: groups of n members over `most` as pairs of blocks, each member in every pair of its block."""
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    out = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.least("block", t) * F.col("blocks") + F.greatest("block", t))
+    return out.withColumn("pair", F.explode(pairs)).drop("blocks")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,38 +226,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id = component_id) for each row of docs."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands, least = bands_for(percent), least_estimate(percent)
     signed = cut(sign(docs, shingle, bands), "signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"))
-    reps = cut(reps, "reps")
-    own = usable.join(reps, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id = rep").select("rep", "bands", "packed")
-    spread = cut(own.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
-    shared = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = spread.join(shared, "band").withColumn("blocks", blocks).withColumn("salt", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    members = cut(members.join(own.select("rep", "packed"), "rep").select("band", "blocks", "salt", "rep", "packed"), "members")
-    links = confirm(stars(members, least), docs, shingle, percent)
+    reps = cut(usable.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")), "reps")
+    named = usable.join(reps, ["n_shingles", "sum_a", "sum_b"])
+    own = cut(named.filter("doc_id = rep").select("rep", "bands", "packed"), "own")
+    spread = own.select("rep", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    members = spread.join(shared.select("band", "n"), "band").join(own.select("rep", "packed"), "rep")
+    likely = cut(_edges(_dealt(members, most), ["band", "pair"], least), "likely", release=True)
+    hoods = components(likely)
+    sizes = hoods.groupBy("class").agg(F.count("*").alias("n"))
+    hoods = cut(hoods.join(sizes, "class").select(F.col("class").alias("hood"), F.col("node").alias("rep"), "n"), "hoods")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, at in B.chunks(*B.utf8(batch.column(1))):
+                hashes, counts = shingle_sets(data, at, shingle)
+                raw = [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                a, b, _, packed = signatures(hashes, counts, 0)
+                columns = [batch.column(0).slice(first, last - first), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "sum_a", "sum_b", "packed", "own"])
+
+    wanted = docs.join(hoods.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    full = wanted.mapInArrow(sets, "rep long, sum_a long, sum_b long, packed binary, own binary").filter("octet_length(own) > 0")
     # A doc_id on several rows links all its sets.
-    several = usable.join(reps, ["n_shingles", "sum_a", "sum_b"]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
+    several = named.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
     several = several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b")).filter("a <> b")
-    links = cut(links.union(several).distinct(), "links")
-    for few in (FEW, None):
-        labels = components(links)
-        known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        parts = known.groupBy("band", "class").agg(F.count("*").alias("n"))
-        apart = parts.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
-        rows = known.join(apart.select("band", "largest"), "band").withColumn("fixed", F.col("class") == F.col("largest"))
-        salts = F.when(F.col("fixed"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        tried = between(rows.withColumn("salt", F.explode(salts)), least, few)
-        more = confirm(tried.join(links, ["a", "b"], "left_anti"), docs, shingle, percent)
-        if more.isEmpty():
-            continue
-        links = cut(links.union(more), "links")
+    confirmed = _edges(_dealt(full.join(hoods, "rep"), most), ["hood", "pair"], least, percent)
+    links = cut(confirmed.union(several), "links", release=True)
     labels = components(links)
     out = signed.join(reps, ["n_shingles", "sum_a", "sum_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(labels, "node", "left")
