@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -79,3 +80,35 @@ def test_link_phrases(spark):
     docs = spark.createDataFrame([(1, "Acme-Corp rose"), (2, "acme corps"), (3, None)], "doc_id int, body string")
     names = spark.createDataFrame([("A", "Acme Corp"), ("A", "acme corp"), ("B", "")], "entity string, name string")
     assert [(r.doc_id, r.entity) for r in linking.link_phrases(docs, names).collect()] == [(1, "A")]
+
+
+def test_sections():
+    from tidemark.functions.filings import sections
+
+    text = "Item 1A. Risk Factors 4\nItem 7. Discussion 9\nItem 1A. Risk Factors\n" + "risk " * 80 + "\nItem 7. Discussion\nshort"
+    got = sections(text, "10-K")
+    assert [(s["section_id"], s["title"]) for s in got] == [("item_1a_risk_factors", "Risk Factors")]
+    assert [s["section_id"] for s in sections("Item 5.07. Vote\nall for", "8-K")] == ["item_5_07_shareholder_vote"]
+    assert [s["section_id"] for s in sections("no headings", "10-K")] == ["full_filing"] and sections(None, None) == []
+
+
+def test_sources(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "docs.jsonl").write_text('{"doc_id": "a", "title": "T", "body": "B", "published_at": "2020-01-01T00:00:00Z", "tickers_detected": ["aa", "market"]}\n\n{"doc_id": "b", "published_at": "2020-01-01T00:00:00"}\n')
+    rows = files.with_defaults(files.read_documents(spark, str(tmp_path / "docs.jsonl"))).collect()
+    assert [r.doc_id for r in rows] == ["a"]
+    r = rows[0]
+    assert r.available_at == "2020-01-01T00:00:00Z" and r.matched_holdings == ["AA"] and r.source_credibility == 0.5 and len(r.document_hash) == 64
+    (tmp_path / "bad.jsonl").write_text("{not json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_documents(spark, str(tmp_path / "bad.jsonl")).collect()
+    (tmp_path / "panel.csv").write_text("Date,symbol,close\n2020-01-01,aa,1.5\n2020-01-02,bb,x\n,cc,1\n")
+    p = files.read_panel(spark, str(tmp_path / "panel.csv"))
+    assert sorted((r.tic, r.close) for r in p.collect()) == [("AA", 1.5), ("BB", None)] and files.universe(p).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        files.read_table(spark, str(tmp_path / "panel.csv"), required=("query_id",))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    assert files.append_new(df, str(tmp_path / "t"), "k") == 2 and files.append_new(df, str(tmp_path / "t"), "k") == 0
+    assert files.arrays_to_rows(spark.sql("SELECT 1 AS id, array('x', 'y') AS a, array(3, 4) AS b"), "a", "b").count() == 2
+    assert files.union_by_name(df, df.withColumn("w", F.lit(1))).columns == ["k", "v", "w"]
