@@ -49,7 +49,7 @@ def sections(text: str | None, form: str | None, least: int = 250) -> list[dict[
     text, form = text or "", form or ""
     heads = [m for m in HEADING.finditer(text) if len(m.group(0).strip()) <= 220]
     best: dict[str, dict[str, object]] = {}
-    for head, end in zip(heads, [*[m.start() for m in heads[1:]], len(text)], strict=True):
+    for head, end in zip(heads, [*[m.start() for m in heads[1:]], len(text)], strict=False):
         code = re.sub(r"\s+", "", head.group(1)).upper()
         title = re.sub(r"\s+\d+$", "", re.sub(r"\s+", " ", head.group(2)).strip(" .:-–—\t")).strip()[:160]
         body, name = text[head.end() : end].strip(), section_of(form, code, title)
