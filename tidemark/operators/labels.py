@@ -21,18 +21,10 @@ def export_labels(pool: DataFrame, fallback: bool = False) -> tuple[DataFrame, D
     return good, rows.filter("issue IS NOT NULL").select("query_id", "doc_id", "line", "issue")
 
 
-def orientation(key: Column) -> Column:
-    """Whether a rise of a chart's series is good, bad or neither."""
-    k = F.lower(key)
-    bad = k.rlike("risk|vol|drawdown|uncertain|spread|negative|unemployment")
-    good = k.rlike("return|sharpe|opportunity|positive|growth|upside")
-    return F.when(bad, "low_good").when(good, "high_good").otherwise("neutral")
-
-
 def change_tone(facing: Column, change: Column, dead: float = 0.06) -> Column:
     """Tone of a change; within the dead band, or of a series that faces neither way, neutral."""
     up = F.when(F.abs(change) < dead, 0).otherwise(F.signum(change))
-    return F.when((facing == "neutral") | (up == 0), "neutral").when((up > 0) == (facing == "high_good"), "positive").otherwise("negative")
+    return F.when((facing == "neutral") | (up == 0), "neutral").when((up > 0) == (facing == "low_bad"), "positive").otherwise("negative")
 
 
 def return_direction(value: Column, threshold: float) -> Column:

@@ -96,17 +96,5 @@ def prefix_search(posts: DataFrame, terms: list[str], doc: str = "doc_id") -> Da
     return posts.filter(test).groupBy(doc).agg(F.sum("tf").alias("hits"))
 
 
-def alignment(found: Column, wanted: Column) -> Column:
-    """6 where a record names a wanted entity, 0 where neither side names any, -4 where it names none, -10 where it names others."""
-    both = F.size(F.array_intersect(found, wanted))
-    return F.when(F.size(wanted) == 0, 0).when(both > 0, 6).when(F.size(found) == 0, -4).otherwise(-10)
-
-
-def source_family(kind: Column, url: Column) -> Column:
-    """Family of a source by its type, else by its URL."""
-    k, u = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
-    return F.when(k.startswith("sec") | u.contains("sec.gov"), "sec").when(k.contains("macro") | u.contains("fred"), "macro").when(k.contains("company") | k.contains("ir"), "company_ir").otherwise("other")
-
-
 def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

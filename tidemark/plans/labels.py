@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import labels as L
+from tidemark.operators import portfolio, rules
 from tidemark.plans.registry import query
 from tidemark.plans.roles import CORPUS, DECISIONS, PANEL, corpus, decisions, panel, table
 
@@ -26,14 +27,14 @@ def label_export_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_labels(_pool(spark, sf_dir), fallback=True)[1]
 
 
-_FACING = "CASE WHEN regexp_matches(k, 'risk|vol|drawdown|uncertain|spread|negative|unemployment') THEN 'low_good' WHEN regexp_matches(k, 'return|sharpe|opportunity|positive|growth|upside') THEN 'high_good' ELSE 'neutral' END"
-_KEYS = ("risk_score", "return_5d", "doc_count", "upside", "vix_vol")
+_FACING = "CASE " + " ".join(f"WHEN regexp_matches(k, '{w}') THEN '{r}'" for w, r in rules.ORIENTATIONS) + " ELSE 'neutral' END"
+_KEYS = ("risk_score", "eps_revision", "doc_count", "upside", "vix_vol")
 
 
-@query("chart_tones", f"WITH s AS (SELECT event_id, {list(_KEYS)!r}[event_id % 5 + 1] AS k, round(sin(event_id) / 5, 6) AS ch FROM events), f AS (SELECT *, {_FACING} AS facing FROM s) SELECT event_id, facing, CASE WHEN facing = 'neutral' OR abs(ch) < 0.06 THEN 'neutral' WHEN (ch > 0) = (facing = 'high_good') THEN 'positive' ELSE 'negative' END AS tone FROM f")
+@query("chart_tones", f"WITH s AS (SELECT event_id, {list(_KEYS)!r}[event_id % 5 + 1] AS k, round(sin(event_id) / 5, 6) AS ch FROM events), f AS (SELECT *, {_FACING} AS facing FROM s) SELECT event_id, facing, CASE WHEN facing = 'neutral' OR abs(ch) < 0.06 THEN 'neutral' WHEN (ch > 0) = (facing = 'low_bad') THEN 'positive' ELSE 'negative' END AS tone FROM f")
 def chart_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", L.orientation(key).alias("facing"), F.round(F.sin("event_id") / 5, 6).alias("change"))
+    rows = table(spark, sf_dir, "events").select("event_id", rules.first_rule(key, rules.ORIENTATIONS, "neutral").alias("facing"), F.round(F.sin("event_id") / 5, 6).alias("change"))
     return rows.select("event_id", "facing", L.change_tone(F.col("facing"), F.col("change")).alias("tone"))
 
 
@@ -88,3 +89,62 @@ def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).withColumn("query_id", F.col("doc_id") % 40).join(decisions(spark, sf_dir).select("query_id", "weights"), "query_id")
     return rows.select("query_id", "doc_id", F.round(L.relevance_of(F.col("body"), F.col("tickers"), F.col("weights")), 6).alias("relevance"))
+
+
+def _first(column: str, table_: tuple, default: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({column}, '{x}')" for x in w.split("|")) + f" THEN '{r}'" for w, r in table_) + f" ELSE {default} END"
+
+
+_SAID = ("Annual Report 2019", "Quarterly earnings and outlook", "press: merger talks", "SEC filing, litigation", "investor day", "rates and yield", "dividend, oil demand", "nothing")
+SAID = f"said AS (SELECT doc_id, lower({list(_SAID)!r}[doc_id % 8 + 1]) AS t, CASE WHEN doc_id % 2 = 0 THEN 'portfolio' ELSE 'stock' END AS layer FROM documents)"
+
+
+@query("text_rules", f"""WITH {SAID} SELECT doc_id, {_first("t", rules.DOCUMENT_TYPES, "'company_official_archive'")} AS document_type, {_first("t", rules.INTENTS, "CASE WHEN layer = 'portfolio' THEN 'macro_growth' ELSE 'company_risk' END")} AS intent,
+  array_to_string(list_sort(list_filter(['company_official', {', '.join(_first("t", (r,), 'NULL') for r in rules.EVENT_TAGS)}], lambda x: x IS NOT NULL)), '|') AS event_tags, array_to_string(list_filter({list(rules.RISK_TERMS)!r}, lambda x: contains(t, x)), '|') AS risk_terms FROM said""")
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % 8 + 1).cast("int"))
+    layer = F.when(F.col("doc_id") % 2 == 0, "portfolio").otherwise("stock")
+    return corpus(spark, sf_dir).select("doc_id", rules.first_rule(t, rules.DOCUMENT_TYPES, "company_official_archive").alias("document_type"), rules.intent(t, layer).alias("intent"), F.array_join(rules.all_rules(t, rules.EVENT_TAGS, "company_official"), "|").alias("event_tags"), F.array_join(rules.risk_terms(t), "|").alias("risk_terms"))
+
+
+def _card_sql(name: str) -> str:
+    parts = []
+    for m in dict.fromkeys(r[0] for r in rules.CARDS[name]):
+        tests = {"within": "abs({m}) < {b}", "else": "TRUE"}
+        parts.append(f"CASE WHEN {m} IS NULL THEN 0 " + " ".join("WHEN " + tests.get(t, "{m} {t} {b}").format(m=m, t=t, b=b) + f" THEN {p}" for _, p, t, b in (r for r in rules.CARDS[name] if r[0] == m)) + " ELSE 0 END")
+    return f"round({' + '.join(parts)}, 6)"
+
+
+_RANGE = {"real_10y_yield": (0.0, 3.0), "investment_grade_credit_spread": (0.8, 1.2), "fed_funds_rate": (2.0, 4.0), "payrolls_3m_avg": (20000.0, 250000.0), "unemployment_3m_change": (-0.2, 0.8), "retail_sales_yoy": (-2.0, 6.0), "ism_new_orders": (44.0, 12.0), "sp500_earnings_revision_3m": (-0.05, 0.1), "dxy_yoy": (-6.0, 14.0), "vix": (10.0, 25.0), "wti_yoy": (-40.0, 90.0)}
+SNAPSHOT = "snap AS (SELECT event_id, " + ", ".join(f"CASE WHEN event_id % {11 + i} = 0 THEN NULL ELSE round({lo} + {w} * ((event_id * {7 + 2 * i}) % 101) / 101.0::DOUBLE, 4) END AS {m}" for i, (m, (lo, w)) in enumerate(_RANGE.items())) + " FROM events)"
+_TONE = "CASE WHEN {0} >= 0.35 THEN 'positive' WHEN {0} <= -0.35 THEN 'negative' ELSE 'neutral' END"
+
+
+@query("macro_cards", f"WITH {SNAPSHOT}, c AS (SELECT event_id, {', '.join(f'{_card_sql(n)} AS {n}' for n in rules.CARDS)} FROM snap), t AS (SELECT *, {', '.join(f'{_TONE.format(n)} AS {n}_tone' for n in rules.CARDS)} FROM c), v AS (SELECT *, {' + '.join(f"CASE {n}_tone WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END" for n in rules.CARDS)} AS votes FROM t) SELECT event_id, {', '.join(f'{n}_tone' for n in rules.CARDS)}, CASE WHEN votes >= 2 THEN 'risk_on' WHEN votes <= -2 THEN 'risk_off' ELSE 'transition' END AS regime FROM v")
+def macro_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    snap = e.select("event_id", *[F.when(F.col("event_id") % (11 + i) != 0, F.round(lo + w * (F.col("event_id") * (7 + 2 * i) % 101) / 101.0, 4)).alias(m) for i, (m, (lo, w)) in enumerate(_RANGE.items())])
+    tones = snap.select("event_id", *[portfolio.tone(F.round(rules.card_score(n), 6)).alias(f"{n}_tone") for n in rules.CARDS])
+    return tones.withColumn("regime", portfolio.regime([F.col(f"{n}_tone") for n in rules.CARDS]))
+
+
+@query("document_scores", f"""WITH {CORPUS} SELECT doc_id, CASE event_tags[1] WHEN 'risk_factors' THEN 0.9 WHEN 'guidance' THEN 0.8 ELSE 0.4 END AS severity_score, CASE WHEN doc_id % 6 = 0 THEN 1.0 ELSE 0.2 END AS macro_score,
+  CASE WHEN list_contains(tickers, 'T3') THEN 6.0 WHEN doc_id % 6 = 0 THEN -7.0 ELSE -10.0 END AS entity_score, CASE WHEN doc_id % 6 = 0 THEN 'official_macro' WHEN doc_id % 6 = 1 THEN 'sec_edgar' WHEN doc_id % 6 = 2 THEN 'company_ir' ELSE 'other' END AS family FROM corpus""")
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 6 == 0, "official_macro_release").when(F.col("doc_id") % 6 == 2, "company_press_release").otherwise("news")
+    url = F.when(F.col("doc_id") % 6 == 1, "https://www.sec.gov/x").otherwise("https://x.example")
+    return corpus(spark, sf_dir).select("doc_id", rules.severity(F.col("event_tags"), kind).alias("severity_score"), rules.macro_relevance(F.col("event_tags"), F.col("tickers"), kind).alias("macro_score"), rules.entity_alignment(F.col("tickers"), F.array(F.lit("T3")), kind, F.lit(False)).alias("entity_score"), rules.source_family(kind, F.col("source"), url).alias("family"))
+
+
+@query("search_scores", f"""WITH {CORPUS}, s AS (SELECT doc_id, severity AS s, credibility AS c, CAST(doc_id % 3 = 0 AS INT) AS g, CAST(doc_id % 4 = 0 AS INT) AS k, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.25 END AS i FROM corpus),
+u AS (SELECT *, greatest(0, s - 0.5) + c + 0.5 * s + 0.6 * g + 0.4 * k + greatest(0, i) AS up, c + s + greatest(0, 0.5 - s) + 0.5 * k + 0.5 * g + 0.4 * k + 0.3 * g + greatest(0, -i) AS ra, s * (1 + least(0.35, 4 * 0.05)) AS cal FROM s)
+SELECT doc_id, round(up, 6) AS upside, round(ra, 6) AS risk_alert, round(1 + 1.15 * cal + 0.75 * up + 0.35 * s + 0.3 * c + 2.5 * 0.05 + CASE WHEN g = 1 THEN 2.0 ELSE -1.25 END - CASE WHEN k = 1 THEN 1.25 ELSE 0 END, 6) AS opportunity, round(1 + 1.15 * cal + 0.75 * ra + 0.35 * s + 0.3 * c + 2.5 * 0.05 + CASE WHEN g = 1 THEN 0.75 ELSE 0 END, 6) AS risk FROM u""")
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = F.col("severity"), F.col("credibility")
+    g, k = (F.col("doc_id") % 3 == 0).cast("int"), (F.col("doc_id") % 4 == 0).cast("int")
+    impact = portfolio.impact(F.when(F.col("doc_id") % 3 == 0, "positive").when(F.col("doc_id") % 3 == 1, "negative").otherwise("mixed"))
+    up = rules.upside({"sentiment": s - 0.5, "opportunity": c, "forward": s, "earnings_guidance": g, "capital_return": k, "impact": impact})
+    alert = rules.risk_alert({"risk": c, "uncertainty": s, "sentiment": s - 0.5, "company_risk": k, "legal_regulatory": g, "margin_pressure": k, "supply_chain": g, "impact": impact})
+    zero = F.lit(0.0)
+    f = {"lexical": F.lit(1.0), "signal": rules.calibrated(s, F.lit(0.05)), "upside": up, "risk_alert": alert, "event": s, "credibility": c, "usefulness": F.lit(0.05), "source": zero, "entity": zero, "field": zero}
+    return corpus(spark, sf_dir).select("doc_id", F.round(up, 6).alias("upside"), F.round(alert, 6).alias("risk_alert"), *[F.round(rules.search_total(f, m, g == 1, k == 1), 6).alias(m) for m in ("opportunity", "risk")])

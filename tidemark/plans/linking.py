@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import linking as L
 from tidemark.operators import portfolio as P
 from tidemark.operators import retrieval as R
+from tidemark.operators import rules
 from tidemark.plans.registry import query
 from tidemark.plans.roles import CORPUS, corpus, table, tokens_sql
 
@@ -57,12 +58,12 @@ _TERMS = ["ation", "ment", "t3", "ung"]
 _LEX = " + ".join(f"CASE WHEN contains(lower(substr(body, 1, 60)), '{t}') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(body), '{t}') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(list_transform(tickers, lambda x: lower(x)), '{t}') THEN 2.5 ELSE 0 END" for t in _TERMS)
 
 
-@query("web_search", f"""WITH {CORPUS}, s AS (SELECT doc_id, source, available_at, ({_LEX})::DOUBLE AS lexical, severity, credibility, CASE WHEN list_contains(tickers, 'T3') THEN 6 WHEN len(tickers) = 0 THEN -4 ELSE -10 END AS entity FROM corpus WHERE available_at <= TIMESTAMP '2020-02-01'),
+@query("web_search", f"""WITH {CORPUS}, s AS (SELECT doc_id, source, available_at, ({_LEX})::DOUBLE AS lexical, severity, credibility, CASE WHEN list_contains(tickers, 'T3') THEN 6.0 WHEN len(tickers) = 0 THEN -4.0 ELSE -10.0 END::DOUBLE AS entity FROM corpus WHERE available_at <= TIMESTAMP '2020-02-01'),
 f AS (SELECT *, round(lexical + 1.15 * severity + 0.30 * credibility + entity, 6) AS score FROM s) SELECT doc_id, source, lexical, entity, score, row_number() OVER (ORDER BY score DESC, available_at DESC, doc_id DESC) AS rank FROM f WHERE score > 0""")
 def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus(spark, sf_dir).filter(F.col("available_at") <= F.lit("2020-02-01").cast("timestamp_ntz"))
     lexical = L.search_score(F.substring("body", 1, 60), F.col("body"), F.col("tickers"), _TERMS)
-    d = d.select("doc_id", "source", "available_at", lexical.alias("lexical"), L.alignment(F.col("tickers"), F.array(F.lit("T3"))).alias("entity"), "severity", "credibility")
+    d = d.select("doc_id", "source", "available_at", lexical.alias("lexical"), rules.entity_alignment(F.col("tickers"), F.array(F.lit("T3")), F.lit("news"), F.lit(False)).alias("entity"), "severity", "credibility")
     d = d.withColumn("score", F.round(F.col("lexical") + 1.15 * F.col("severity") + 0.30 * F.col("credibility") + F.col("entity"), 6)).filter("score > 0")
     return L.ranked(d, [], [F.desc("score"), F.desc("available_at"), F.desc("doc_id")]).select("doc_id", "source", "lexical", "entity", "score", "rank")
 
