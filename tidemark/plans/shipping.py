@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 import tidemark
 
+BATCH_BYTES = 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once a Spark context."""
+    """Sends the package's sources to the executors, once a Spark context, and bounds Arrow batches by size.
+
+    A batch of ten thousand rows, Spark's default, may be gigabytes of long texts; a bound in bytes holds for any length.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "tidemark_shipped", False):
         return
