@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode
+from tidemark.llm.runtime import cut
 
 #: Lengths of one block of suffix sums.
 BLOCK = 4096
@@ -31,7 +32,7 @@ def limits(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     when texts are cut at L, documents cut, and the share of documents of at most L tokens (L is every quantile up to that share and
     above the one before).
     """
-    hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block))
+    hist = cut(hist, "histogram").withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each `block` lengths
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
