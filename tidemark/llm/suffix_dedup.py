@@ -194,16 +194,27 @@ def resolve(packed: DataFrame, span: int, parts: int, most: int = BLOCK) -> Data
 
 
 def _texts(docs: DataFrame, parts: int, *more: str) -> DataFrame:
-    """doc_id, text and more, with the part q that _by_doc gives the document."""
+    """doc_id, text and more of many rows as one compressed Arrow stream, with the part q that _by_doc gives the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             ids, named = _named(batch)
             q = np.where(named, (B.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), np.arange(len(ids)) % parts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q, pa.int32())], names=[*batch.schema.names, "q"])
+            order = np.argsort(q, kind="stable")
+            cuts = np.searchsorted(q[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch.take(pa.array(order[cuts[p] : cuts[p + 1]])))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["q", "stream"])
 
-    chosen = docs.select("doc_id", "text", *more)
-    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, T.StructField("q", T.IntegerType())]))
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "q int, stream binary")
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    """The rows that _texts packed."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("stream").to_pylist()])
 
 
 def _rows_of(t: pa.Table, kind: int, width: int) -> np.ndarray:
@@ -229,6 +240,7 @@ def fetch(asked: DataFrame, docs: DataFrame, span: int, parts: int) -> DataFrame
         rows = _rows_of(right, 1, 7)
         if not rows.shape[1] or not left.num_rows:
             return pa.table([pa.array([], pa.binary() if n == "bytes" else pa.int64()) for n in names], names=names)
+        left = _unpacked(left)
         raw, at = B.utf8(left.column("text"))
         ids = np.asarray(left.column("doc_id").combine_chunks().fill_null(0), dtype=np.int64)
         tags = np.concatenate([_tags(data, a) for _, _, data, a in B.chunks(raw, at)])
@@ -427,15 +439,17 @@ def remove_repeats(docs: DataFrame, span: int = 50, text: bool = True, digest: b
 
     parts = partitions(docs.sparkSession)
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()) if digest else T.StructField("kept", T.BinaryType())]
-    own = [c for c in docs.columns if c not in {f.name for f in new} | {"q", "doc_id", "text"}]
+    own = [c for c in docs.columns if c not in {f.name for f in new} | {"doc_id", "text"}]
     ranges = removed(docs, span, most)
-    texts = _texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), parts, *own)
-    fields = [f for f in texts.schema.fields if f.name != "q" and (text or f.name != "text")]
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = _texts(docs, parts, *own)
+    fields = [f for f in docs.select("doc_id", "text", *own).schema.fields if text or f.name != "text"]
     schema = T.StructType([*fields, *new])
 
     def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in types], names=schema.fieldNames())
+        left = _unpacked(left)
         doc, tag, begin, end = _rows_of(right, 0, 4)
         raw, at = B.utf8(left.column("text"))
         ids = np.asarray(left.column("doc_id").combine_chunks().fill_null(0), dtype=np.int64)
