@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.bytesops import ragged
+from tidemark.llm.bytesops import ragged, trimmed
 
 #: Texts that are encoded between two looks at memory, in characters, and distinct runs a worker remembers.
 BLOCK_CHARS = 1 << 21
@@ -230,8 +230,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
                     columns += [as_lists(np.concatenate([s[k] for s in spans])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
                 done += len(counts)
+        bpe._forget()
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: bool = False, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -258,4 +259,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text:
                     columns[0].append(raw.decode("utf-8", "replace") if text else raw)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, pa.string() if digest or text else pa.binary()) for c in columns]], names=schema.fieldNames())
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(trimmed(run), schema)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -26,8 +32,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     size = 1 << max(10, int(n - 1).bit_length())
     if size not in _powers:
-        if len(_powers) > 4:
-            _powers.clear()
+        for kept in [k for k in _powers if k > 2 * CHUNK]:  # of a very long text
+            del _powers[kept]
         out = []
         for base in (BASE, INVERSE):
             a, step = np.ones(size, dtype=np.uint64), 1
@@ -40,6 +46,44 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker that waits for its next task shall not hold what the last one needed."""
+    for kept in [k for k in _powers if k > 2 * CHUNK]:
+        del _powers[kept]
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, an iterator over batches, with trim() at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """run, a function of one or two tables, with trim() at its end."""
+    if run.__code__.co_argcount == 1:
+
+        def one(t: pa.Table) -> pa.Table:
+            out = run(t)
+            trim()
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        trim()
+        return out
+
+    return two
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit words (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -223,7 +223,7 @@ def _search(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
                     scores = [pa.array([v[k] for v in out.values()]) for k in range(3)]
                     yield pa.RecordBatch.from_arrays([rows, pa.array(ix.ids[[i for _, i in out]]), *scores], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.bytesops import trimmed
+
 PATHS, WORDS, MEASURES, INNER, HIDDEN = 128, 64, 8, 32, 24
 #: Blocks that are labelled at once, padding included.
 AT_ONCE = 20_000
@@ -453,4 +455,4 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
                 texts = main_text(m, part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.fieldNames())
 
-    return pages.select(*[pages[c] for c in keep], pages[html].alias("html_to_read")).mapInArrow(run, schema)
+    return pages.select(*[pages[c] for c in keep], pages[html].alias("html_to_read")).mapInArrow(trimmed(run), schema)

@@ -50,7 +50,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(B.trimmed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -185,7 +185,7 @@ def one_round(docs: DataFrame, v: Vocabulary, net: Net, n: int, rounds: int) ->
             values = np.rint(_flat(own).astype(np.float64) * FIXED).astype(np.int64) * weight
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), weight))], names=["place", "value", "weight"])
 
-    copies = docs.select("text").mapInArrow(run, "place int, value long, weight long")
+    copies = docs.select("text").mapInArrow(B.trimmed(run), "place int, value long, weight long")
     rows = copies.groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toPandas()
     flat = _flat(net).astype(np.float64)
     flat[rows["place"].to_numpy()] = rows["value"].to_numpy() / rows["weight"].to_numpy() / FIXED
@@ -214,7 +214,7 @@ def score(docs: DataFrame, v: Vocabulary, net: Net) -> DataFrame:
                 mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, e - f), pa.array(counts), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), "doc_id long, n_words long, log_likelihood double, per_word double")
 
 
 def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -115,7 +115,7 @@ def sign(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
                 raw = pa.array([x.tobytes() for x in packed], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(counts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, raw], names=["doc_id", "n_shingles", "sum_a", "sum_b", "bands", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(B.trimmed(run), "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, packed binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -199,7 +199,7 @@ def _edges(members: DataFrame, keys: list[str], least: float, percent: int | Non
 
     columns = [*keys, "rep", "block", "packed", *["own"] * (percent is not None)]
     rows = members.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "rep")
-    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(B.trimmed(run), "a long, b long").filter("a <> b").distinct()
 
 
 def _dealt(members: DataFrame, most: int) -> DataFrame:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most:
                 yield pa.RecordBatch.from_arrays(columns, names=["rep", "sum_a", "sum_b", "packed", "own"])
 
     wanted = docs.join(hoods.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = wanted.mapInArrow(sets, "rep long, sum_a long, sum_b long, packed binary, own binary").filter("octet_length(own) > 0")
+    full = wanted.mapInArrow(B.trimmed(sets), "rep long, sum_a long, sum_b long, packed binary, own binary").filter("octet_length(own) > 0")
     # A doc_id on several rows links all its sets.
     several = named.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
     several = several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b")).filter("a <> b")

@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> dict[str, np.
                 raw = [x[cuts[i] : cuts[i + 1]].astype(np.float16).tobytes() for i in range(e - f)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, e - f), batch.column(2).slice(f, e - f), pa.array(raw, pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label double, x binary").collect()
+    rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(B.trimmed(run), "doc_id long, label double, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     xs = [np.frombuffer(r.x, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return fit(np.concatenate(xs) if xs else np.zeros((0, FEATURES)), np.array([len(x) for x in xs], dtype=np.int64), np.array([r.label for r in rows]))
@@ -161,4 +161,4 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None
             flat = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(flat)], names=schema.fieldNames())
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].alias("text_to_score")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"].alias("text_to_score")).mapInArrow(B.trimmed(run), schema)

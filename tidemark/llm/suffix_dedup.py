@@ -34,6 +34,8 @@ from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut, partitions
 
 GRAM, BLOCK = 18, 20_000
+#: Bytes of text whose segments are packed together.
+PACKED = 1 << 24
 LOW5 = np.uint64((1 << 40) - 1)
 
 
@@ -102,11 +104,15 @@ def segments(docs: DataFrame, span: int, parts: int) -> DataFrame:
         for batch in batches:
             raw, places = B.utf8(batch.column(1))
             ids, named = _named(batch)
-            for f, e, data, at in B.chunks(raw, places, 4 * B.CHUNK):
-                row, first, last, anchor, gram, whole = anchors(data, at, span)
-                keep = named[f:e][row]
-                row, first, last, anchor, gram, whole = (x[keep] for x in (row, first, last, anchor, gram, whole))
-                tags = _tags(data, at)
+            for first_row, last_row, _, _ in B.chunks(raw, places, PACKED):
+                own_at = places[first_row : last_row + 1]
+                found = []
+                for f, e, data, at in B.chunks(raw, own_at):
+                    row, first, last, anchor, gram, whole = anchors(data, at, span)
+                    keep = named[first_row + f : first_row + e][row]
+                    found.append([x[keep] for x in (row + f, first - at[row], last - first, anchor - first, gram, whole)] + [_tags(data, at)])
+                row, first, length, off, gram, whole, tags = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc_ids = ids[first_row:last_row]
                 part = (gram % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -116,13 +122,13 @@ def segments(docs: DataFrame, span: int, parts: int) -> DataFrame:
                     r = row[o]
                     begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                     own, delta = r[begin], np.diff(first[o], prepend=0)
-                    delta[begin] = first[o][begin] - at[own]
-                    meta = np.stack([anchor[o] - first[o], last[o] - first[o]]).astype(np.uint8)
-                    out.append((p, ids[f:e][own].tobytes(), tags[own].tobytes(), np.diff(np.append(begin, len(o))).astype(np.uint32).tobytes(), _small(delta).tobytes(), meta.tobytes(), gram[o].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), whole[o].tobytes()))
+                    delta[begin] = first[o][begin]
+                    meta = np.stack([off[o], length[o]]).astype(np.uint8)
+                    out.append((p, doc_ids[own].tobytes(), tags[own].tobytes(), np.diff(np.append(begin, len(o))).astype(np.uint32).tobytes(), _small(delta).tobytes(), meta.tobytes(), gram[o].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), whole[o].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=SEGMENTS.replace(" binary", "").replace(" int", "").split(", "))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    return docs.select("doc_id", "text").mapInArrow(B.trimmed(run), SEGMENTS)
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
@@ -190,7 +196,7 @@ def resolve(packed: DataFrame, span: int, parts: int, most: int = BLOCK) -> Data
         out.append(_by_doc(parts, 1, *(x[ask] for x in (doc, tag, first, off, length, gram, salt))))
         return pa.Table.from_batches(out)
 
-    return packed.groupBy("p").applyInArrow(run, "q int, kind int, rows binary")
+    return packed.groupBy("p").applyInArrow(B.trimmed_group(run), "q int, kind int, rows binary")
 
 
 def _texts(docs: DataFrame, parts: int, *more: str) -> DataFrame:
@@ -209,7 +215,7 @@ def _texts(docs: DataFrame, parts: int, *more: str) -> DataFrame:
                     writer.write_batch(batch.take(pa.array(order[cuts[p] : cuts[p + 1]])))
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["q", "stream"])
 
-    return docs.select("doc_id", "text", *more).mapInArrow(run, "q int, stream binary")
+    return docs.select("doc_id", "text", *more).mapInArrow(B.trimmed(run), "q int, stream binary")
 
 
 def _unpacked(t: pa.Table) -> pa.Table:
@@ -254,7 +260,7 @@ def fetch(asked: DataFrame, docs: DataFrame, span: int, parts: int) -> DataFrame
         return pa.table([*[pa.array(x) for x in (gram, salt, doc, tag, first, off, length)], blobs], names=names)
 
     texts = _texts(docs, parts)
-    return texts.groupBy("q").cogroup(asked.filter("kind = 1").groupBy("q")).applyInArrow(run, ", ".join(f"{n} {'binary' if n == 'bytes' else 'long'}" for n in names))
+    return texts.groupBy("q").cogroup(asked.filter("kind = 1").groupBy("q")).applyInArrow(B.trimmed_group(run), ", ".join(f"{n} {'binary' if n == 'bytes' else 'long'}" for n in names))
 
 
 class Suffixes:
@@ -395,7 +401,7 @@ def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> Dat
                 none = pa.nulls(len(row))
                 yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), *[pa.array(x) for x in (one.view(np.int64), ends.view(np.int64), d[row], g[row], place)]], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return fetched.repartition(parts, "gram", "salt").mapInArrow(run, FOUND)
+    return fetched.repartition(parts, "gram", "salt").mapInArrow(B.trimmed(run), FOUND)
 
 
 def _packed_rows(rows: DataFrame, span: int, parts: int) -> DataFrame:
@@ -406,7 +412,7 @@ def _packed_rows(rows: DataFrame, span: int, parts: int) -> DataFrame:
             doc, tag, first = (batch.column(i).to_numpy() for i in range(3))
             yield _by_doc(parts, 0, doc, tag, first, first + span)
 
-    return rows.select("doc", "tag", "first").mapInArrow(run, "q int, kind int, rows binary")
+    return rows.select("doc", "tag", "first").mapInArrow(B.trimmed(run), "q int, kind int, rows binary")
 
 
 def removed(docs: DataFrame, span: int = 50, most: int = BLOCK) -> DataFrame:
@@ -489,4 +495,4 @@ def remove_repeats(docs: DataFrame, span: int = 50, text: bool = True, digest: b
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(f.dataType) for f in schema.fields]
-    return texts.groupBy("q").cogroup(ranges.groupBy("q")).applyInArrow(run, schema)
+    return texts.groupBy("q").cogroup(ranges.groupBy("q")).applyInArrow(B.trimmed_group(run), schema)
