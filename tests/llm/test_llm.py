@@ -254,6 +254,41 @@ def test_lm_score(spark, odd):
     assert lm_score.lm_score(odd.limit(0)).count() == 0
 
 
+def test_lm_score_of_words(spark, odd):
+    """Every word has a probability of its own: rare words share an id by their counts, unseen ones are spelled."""
+    rare = [f"rare{i}" for i in range(1500)]
+    rng = random.Random(2)
+    rows = [(i, " ".join(["The", "common", *rng.choices(rare, k=20)])) for i in range(400)] + [(None, "rare1 rare2"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm_score.count_words(docs)
+    v, net = lm_score.fit(docs)
+    n, known = Counter(w for _, t in rows for w in (t or "").lower().split()), set(v.words.tolist())
+    key = lambda w: int(lm_score.text_words(*bytesops.utf8(pa.array([w])))[0][0])
+    sums = Counter()
+    for w, k in n.items():
+        sums[key(w) % lm_score.BUCKETS] += k if key(w) not in known else 0
+
+    def share(w):
+        if key(w) in known:
+            return 0.0
+        return (np.log(n[w]) if n[w] else -np.log(257) * (len(w.encode()) + 1)) - np.log(sums[key(w) % lm_score.BUCKETS] + 1)
+
+    asked = docs.unionByName(spark.createDataFrame([(1000, "the common rare3"), (1001, "zq1 zq2 zq3")], "doc_id long, text string"))
+    ids = {r.doc_id: r for r in lm_score.score(asked, v, net).collect() if r.doc_id is not None}
+    got = lm_score.word_scores(asked, v, net, counts).collect()
+    assert len(got) == len(rows) + 2 and sum(r.doc_id is None for r in got) == 2
+    texts = {i: t for i, t in rows} | {1000: "the common rare3", 1001: "zq1 zq2 zq3"}
+    for r in got:
+        if r.doc_id is not None:
+            want = ids[r.doc_id].log_likelihood + sum(map(share, texts[r.doc_id].lower().split()))
+            assert r.log_likelihood == pytest.approx(want, rel=1e-6, abs=1e-4)
+    by = {r.doc_id: r.per_word for r in got}
+    assert by[1000] > by[1001] + 5
+    whole = {r.doc_id: r.log_likelihood for r in lm_score.lm_score(docs).collect() if r.doc_id is not None}
+    assert sum(whole.values()) < sum(ids[i].log_likelihood for i in whole) - 5 * len(whole)
+    assert len(lm_score.lm_score(odd).collect()) == 9
+
+
 def test_html_extract(spark):
     m = html_extract.model()
     pages, labels = html_extract.sample_pages(150, 77)

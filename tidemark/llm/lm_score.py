@@ -2,10 +2,12 @@ r"""Language-model scores by masked pseudo-likelihood: every word is predicted f
 
 A word is a run of bytes other than white space, lower-cased (A-Z). The commonest words of the corpus, counted over all documents, have
 an id each; the others share BUCKETS ids by hash. A window network in numpy adds vectors of the WINDOW words to the left and to the
-right, squashes the sum, and predicts the masked word's id as a class and a member of it. It starts from the corpus's word counts and
+right, squashes the sum, and predicts the masked word's id as a class and a member of it. A word of a shared id has, beyond that, its own share of
+the id by the counts of all words; a word that was never counted has one part of the id's count plus one, spelled byte by byte. It starts from the corpus's word counts and
 is trained on every document: in each of ROUNDS rounds every task trains its own copy on its part of that round's documents, and the
 copies are averaged by the words they have seen. What is gathered grows with the corpus: counts of all its words, and a copy for each
-task; both are summed before and in a shuffle, and the driver gets the chosen words and one model. Sums are of whole numbers,
+task; both are summed before and in a shuffle, and the driver gets the chosen words and one model. Words of shared ids meet the table of counts
+in packed parts by hash, which no machine holds whole. Sums are of whole numbers,
 so their order doesn't matter.
 
 Defined cases: null and empty texts have no words, a log_likelihood of 0 and a null per_word; rows with a null doc_id are scored and
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesops as B
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, partitions
 
 CLASSES, MEMBERS, BUCKETS, WIDTH, WINDOW, ROUNDS = 32, 32, 64, 24, 2, 2
 IDS = CLASSES * MEMBERS
@@ -30,15 +33,26 @@ EDGE = IDS  # stands beyond the ends of a text
 BATCH, RATE = 4096, 0.1
 #: Weights are summed as whole numbers of 2**-20, each times the thousands of words a copy has seen.
 FIXED = 1 << 20
+#: Logarithms of shares are summed as whole numbers of 2**-32.
+FINE = 1 << 32
+#: Words of shared ids that a task packs at once.
+PACK = 1 << 20
+SPELL = float(np.log(257))  # a byte or the end of a word
 Net = dict[str, np.ndarray]
 
 
-def text_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the number of words of each text."""
+def text_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and bytes of each word, and the number of words of each text."""
     data = B.LOWER[data]
     start, end, row = B.words(data, at)
     h = B.span_hashes(B.prefix_hashes(data), start, end) if len(start) else np.zeros(0, np.uint64)
-    return h, np.bincount(row, minlength=len(at) - 1)
+    return h, end - start, np.bincount(row, minlength=len(at) - 1)
+
+
+def text_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the number of words of each text."""
+    h, _, counts = text_spans(data, at)
+    return h, counts
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -70,8 +84,7 @@ class Vocabulary:
         return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = cut(count_words(docs), "words")
+def vocabulary(counts: DataFrame) -> Vocabulary:
     top = counts.orderBy(F.desc("n"), "word").limit(IDS - BUCKETS).collect()
     words = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
     own = np.array([r.n for r in top], dtype=np.float64)
@@ -192,30 +205,136 @@ def one_round(docs: DataFrame, v: Vocabulary, net: Net, n: int, rounds: int) ->
     return _shaped(flat, net)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Net]:
-    v = vocabulary(docs)
+def fit(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Vocabulary, Net]:
+    v = vocabulary(cut(count_words(docs), "words") if counts is None else counts)
     net = start_net(v)
     for n in range(rounds):
         net = one_round(docs, v, net, n, rounds)
     return v, net
 
 
+def _scored(v: Vocabulary, net: Net, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words and log-probability of the ids of each text; hash, bytes and text of the words of shared ids."""
+    h, length, counts = text_spans(data, at)
+    ids = v.ids(h)
+    around, row = windows(ids, counts), np.repeat(np.arange(len(counts)), counts)
+    each = [forward(net, around[:, i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH)]
+    total = np.bincount(row, np.concatenate(each), len(counts)) if each else np.zeros(len(counts))
+    shared = ids >= IDS - BUCKETS
+    return counts, total, h[shared], length[shared], row[shared]
+
+
+def _rows(ids: pa.Array, counts: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+
+
+SCORES = "doc_id long, n_words long, log_likelihood double, per_word double"
+
+
 def score(docs: DataFrame, v: Vocabulary, net: Net) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum over the words) and per_word."""
+    """doc_id, n_words, log_likelihood (sum over the words' ids) and per_word; word_scores adds the words' shares of shared ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f, e, data, at in B.chunks(*B.utf8(batch.column(1))):
-                h, counts = text_words(data, at)
-                ids = v.ids(h)
-                around = windows(ids, counts)
-                each = [forward(net, around[:, i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH)]
-                total = np.bincount(np.repeat(np.arange(e - f), counts), np.concatenate(each) if each else None, e - f) if len(ids) else np.zeros(e - f)
-                mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, e - f), pa.array(counts), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+                yield _rows(batch.column(0).slice(f, e - f), *_scored(v, net, data, at)[:2])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), SCORES)
+
+
+PACKED = "part int, pack long, word binary, number binary, row binary, texts binary"
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), "doc_id long, n_words long, log_likelihood double, per_word double")
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(("part", "pack", "word", "number", "row", "texts"), r, strict=True)) for r in rows], schema=pa.schema([("part", pa.int32()), ("pack", pa.int64()), *((k, pa.binary()) for k in ("word", "number", "row", "texts"))]))
+
+
+def _parts(h: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Part of the table of counts, and the places in h of the words that belong there."""
+    part = ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(h) else ():
+        yield int(part[places[0]]), places
+
+
+def shares(h: np.ndarray, length: np.ndarray, words: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Log of each word's share of its shared id, in parts of FINE; words are sorted and n are their counts."""
+    own = np.zeros(len(h))
+    if len(words):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        own = np.where(words[at] == h, n[at], 0)
+    whole = np.log(sums[(h % np.uint64(BUCKETS)).astype(np.int64)] + 1)
+    return np.rint((np.where(own > 0, np.log(np.maximum(own, 1)), -SPELL * (length + 1.0)) - whole) * FINE).astype(np.int64)
+
+
+def word_scores(docs: DataFrame, v: Vocabulary, net: Net, counts: DataFrame) -> DataFrame:
+    """As score, with every word scored as itself: a word of a shared id adds its share of the id, by counts (word, n)."""
+    parts, sums = partitions(docs.sparkSession), v.counts[IDS - BUCKETS :]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, ids, seen, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            first = np.cumsum([0, *(len(x[0]) for x in seen)])
+            h, length = (np.concatenate([x[k] for x in seen]) for k in (2, 3))
+            row = np.concatenate([x[4] + f for x, f in zip(seen, first, strict=False)]).astype(np.int32)
+            texts = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(np.concatenate([x[k] for x in seen])) for k in (0, 1))], names=["doc_id", "n_words", "log_likelihood"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema) as out:
+                out.write_batch(texts)
+            rows = [(p, pack, h[at].tobytes(), length[at].astype(np.int32).tobytes(), row[at].tobytes(), None) for p, at in _parts(h, parts)]
+            return _packed([*rows, (pack % parts, pack, None, None, None, sink.getvalue().to_pybytes())])
+
+        for batch in batches:
+            for f, e, data, at in B.chunks(*B.utf8(batch.column(1))):
+                ids.append(batch.column(0).slice(f, e - f))
+                seen.append(_scored(v, net, data, at))
+                size += len(seen[-1][2]) + e - f
+                if size >= PACK:
+                    yield flush()
+                    pack, ids, seen, size = pack + 1, [], [], 0
+        if seen:
+            yield flush()
+
+    def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield _packed([(p, -1, h[at].tobytes(), n[at].tobytes(), None, None) for p, at in _parts(h.view(np.uint64), parts)])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        of = lambda kind, k, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(r[k], t) for r in rows if (r["pack"] < 0) == kind and r["texts"] is None)])
+        words, n = of(True, "word", np.uint64), of(True, "number", np.int64)
+        order = np.argsort(words)
+        words, n = words[order], n[order]
+        out = []
+        for r in rows:
+            if r["texts"] is not None:
+                out.append((0, r["pack"], None, None, None, r["texts"]))
+            elif r["pack"] >= 0:
+                row = np.frombuffer(r["row"], np.int32)
+                own, at = np.unique(row, return_inverse=True)
+                total = np.zeros(len(own), np.int64)
+                np.add.at(total, at, shares(np.frombuffer(r["word"], np.uint64), np.frombuffer(r["number"], np.int32), words, n, sums))
+                out.append((0, r["pack"], None, total.tobytes(), own.tobytes(), None))
+        return pa.Table.from_batches([_packed(out)])
+
+    def together(table: pa.Table) -> pa.Table:
+        rows = table.select(["number", "row", "texts"]).to_pylist()
+        texts = pa.ipc.open_stream(next(r["texts"] for r in rows if r["texts"] is not None)).read_next_batch()
+        extra = np.zeros(texts.num_rows, np.int64)
+        for r in rows:
+            if r["texts"] is None:
+                extra[np.frombuffer(r["row"], np.int32)] += np.frombuffer(r["number"], np.int64)
+        total = texts.column(2).to_numpy(zero_copy_only=False) + extra / FINE
+        return pa.Table.from_batches([_rows(texts.column(0), texts.column(1).to_numpy(zero_copy_only=False), total)])
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(ask), PACKED)
+    known = counts.select("word", "n").mapInArrow(B.trimmed(pack_counts), PACKED)
+    return asked.union(known).groupBy("part").applyInArrow(answer, PACKED).groupBy("pack").applyInArrow(together, SCORES)
 
 
 def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    return score(docs, *fit(docs, rounds))
+    counts = cut(count_words(docs), "words")
+    return word_scores(docs, *fit(docs, rounds, counts), counts)
