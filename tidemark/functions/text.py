@@ -59,6 +59,9 @@ def count_terms(lowered: Column, terms: tuple[str, ...]) -> Column:
         if " " in t:
             out = out + ((F.length(lowered) - F.length(F.replace(lowered, F.lit(t), F.lit("")))) / len(t)).cast("int")
     words = [t for t in terms if " " not in t]
+    # One pass for all words, unless one begins another: then a word of the text counts for both.
+    if not any(a != b and b.startswith(a) for a in words for b in words):
+        words = ["(?:" + "|".join(words) + ")"] if words else []
     for t in words:
         out = out + F.regexp_count(lowered, F.lit(rf"(?U)\b{t}\w*\b"))
     return out
