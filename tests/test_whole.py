@@ -21,6 +21,18 @@ def documents(spark, path, rows):
     return put(spark, path, "documents", [(i, t, "en", "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def test_sections_of_all_texts(spark, tmp_path):
+    long, inner = "Words 12 and an item or two. " * 400, "a" * 300 + "\nItem 1A. Risk Factors\n" + "b" * 400
+    rows = [(0, "short"), (1, None), (2, ""), (3, long), (4, "an item of " + "x" * 700), (5, inner), (6, "y" * 249), (7, "z" * 250)]
+    got = {(r.doc_id, r.section_id, r.n_chars) for r in registry.QUERIES["section_extract"](spark, documents(spark, tmp_path, rows)).collect()}
+    frame = len("Contents\nItem 1A. Risk Factors 4\nItem 7. Discussion 9\nItem 1A. Risk Factors\n") + len("\nItem 7. Discussion\n")
+    want = {(i, "full_filing", frame + 2 * len(t)) for i, t in ((0, "short"), (6, "y" * 249))}
+    want |= {(i, "full_filing", frame - 1) for i in (1, 2)}
+    want |= {(i, s, len(t.strip())) for i, t in ((3, long), (4, rows[4][1]), (7, "z" * 250)) for s in ("item_1a_risk_factors", "item_7_mda")}
+    want |= {(5, "item_1a_risk_factors", 400), (5, "item_7_mda", 300)}
+    assert got == want
+
+
 def counted(text):
     n = {k: sum(text.count(t) if " " in t else len(re.findall(rf"\b{t}\w*\b", text)) for t in v) for k, v in LEXICONS.items()}
     words, numbers = max(1, len(re.findall(r"[a-zA-Z][a-zA-Z\-']+", text))), len(re.findall(r"\b\d+(?:\.\d+)?%?\b", text, re.A))

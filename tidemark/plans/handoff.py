@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import filings
@@ -75,16 +75,25 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
 
 
-@query("section_extract", r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z \n]', '', 'g') AS b FROM documents WHERE length(text) BETWEEN 600 AND 3000 AND NOT regexp_matches(text, '(?i)item')) SELECT doc_id, 'item_1a_risk_factors' AS section_id, '1A' AS item_code, length(trim(b, ' ' || chr(10))) AS n_chars FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250 UNION ALL SELECT doc_id, 'item_7_mda', '7', length(trim(b, ' ' || chr(10))) FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250""")
+@query("section_extract")
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text stands in a filing with a table of contents, as risk factors and as discussion."""
-    d = corpus(spark, sf_dir).filter("length(body) BETWEEN 600 AND 3000 AND NOT body RLIKE '(?i)item'")
-    body = F.regexp_replace("body", "[^A-Za-z \n]", "")
+    """Each text, whatever its length, stands in a filing with a table of contents; a filing without sections gives its full_filing row."""
+    return _sections(corpus(spark, sf_dir), F.coalesce("body", F.lit("")))
+
+
+def _sections(d: DataFrame, body: Column) -> DataFrame:
     filing = F.concat(F.lit("Contents\nItem 1A. Risk Factors 4\nItem 7. Discussion 9\nItem 1A. Risk Factors\n"), body, F.lit("\nItem 7. Discussion\n"), body)
-    out = filings.explode_sections(d.select("doc_id", filing.alias("text"), F.lit("10-K").alias("form"))).filter("section_id <> 'full_filing'")
+    out = filings.explode_sections(d.select("doc_id", filing.alias("text"), F.lit("10-K").alias("form")))
     return out.select("doc_id", "section_id", "item_code", F.length("body").cast("long").alias("n_chars"))
 
 
+@query("section_extract_sql", r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z \n]', '', 'g') AS b FROM documents WHERE length(text) BETWEEN 600 AND 3000 AND NOT regexp_matches(text, '(?i)item')) SELECT doc_id, 'item_1a_risk_factors' AS section_id, '1A' AS item_code, length(trim(b, ' ' || chr(10))) AS n_chars FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250 UNION ALL SELECT doc_id, 'item_7_mda', '7', length(trim(b, ' ' || chr(10))) FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250""")
+def section_extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what the SQL can say: middling texts of plain letters, as risk factors and as discussion."""
+    d = corpus(spark, sf_dir).filter("length(body) BETWEEN 600 AND 3000 AND NOT body RLIKE '(?i)item'")
+    return _sections(d, F.regexp_replace("body", "[^A-Za-z \n]", "")).filter("section_id <> 'full_filing'")
+
+
 @query("macro_documents", "SELECT 'official_macro_unrate_' || CAST(DATE '2020-01-01' + CAST(event_id AS INT) AS VARCHAR) AS doc_id, CAST(DATE '2020-01-01' + CAST(event_id + 5 AS INT) AS VARCHAR) || ' 14:00:00' AS available_at FROM events WHERE event_id < 500")
 def macro_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = table(spark, sf_dir, "events").filter("event_id < 500").select(F.lit("UNRATE").alias("series"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("event_id").cast("int")).alias("day"), "value")
