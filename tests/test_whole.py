@@ -33,6 +33,21 @@ def test_sections_of_all_texts(spark, tmp_path):
     assert got == want
 
 
+def test_web_search_ranks_all_documents(spark, tmp_path):
+    said = ("Motivation and more", "nothing here", "x" * 80 + " achtung moment", "Nation t3 ment ung")
+    rows = [(i, said[i // 29 % 4]) for i in [*range(0, 300), *range(29 * 100, 29 * 140), 29 * 30000 + 3, 29 * 30000 + 6]]
+    want = []
+    for i, t in rows:
+        tickers, low = {i % 29, i * 7 % 29}, t.lower()
+        lexical = sum(2.0 * (x in low[:60]) + 1.0 * (x in low) for x in ("ation", "ment", "t3", "ung")) + 2.5 * (3 in tickers)
+        score = round(lexical + 1.15 * (i % 10 / 10) + 0.30 * (0.5 + 1 / 10) + (6.0 if 3 in tickers else -10.0), 6)
+        if score > 0:
+            want.append((-score, -i))
+    got = [(r.rank, r.doc_id, r.score) for r in registry.QUERIES["web_search"](spark, documents(spark, tmp_path, rows)).collect()]
+    assert sorted(got) == [(n, -i, pytest.approx(-s)) for n, (s, i) in enumerate(sorted(want), 1)]
+    assert max(-i for _, i in want) > 744 * 1000
+
+
 def counted(text):
     n = {k: sum(text.count(t) if " " in t else len(re.findall(rf"\b{t}\w*\b", text)) for t in v) for k, v in LEXICONS.items()}
     words, numbers = max(1, len(re.findall(r"[a-zA-Z][a-zA-Z\-']+", text))), len(re.findall(r"\b\d+(?:\.\d+)?%?\b", text, re.A))

@@ -96,5 +96,22 @@ def prefix_search(posts: DataFrame, terms: list[str], doc: str = "doc_id") -> Da
     return posts.filter(test).groupBy(doc).agg(F.sum("tf").alias("hits"))
 
 
+def ranked_overall(rows: DataFrame, score: str, time: str, order: list[Column], slices: int) -> DataFrame:
+    """Adds rank over all rows, by score (descending), time (descending), then order, with no task that sees all rows.
+
+    Scores have few values: ranks are counted by score, by slice of time in a score, and by row in a slice.
+    """
+    span = rows.agg(F.min(time).alias("from_"), F.max(time).alias("to_"))
+    minutes = lambda a, b: F.timestamp_diff("MINUTE", a, b)
+    place = F.floor(minutes(F.col(time), F.col("to_")) * slices / (minutes(F.col("from_"), F.col("to_")) + 1)).cast("int")
+    rows = rows.crossJoin(F.broadcast(span)).withColumn("slice_", place).drop("from_", "to_")
+    n = rows.groupBy(score, "slice_").agg(F.count("*").alias("n_"))
+    before = lambda by, key: F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = n.groupBy(score).agg(F.sum("n_").alias("n_")).select(score, before([], F.desc(score)).alias("above_"))
+    n = n.select(score, "slice_", before([score], F.col("slice_")).alias("newer_")).join(total, score)
+    own = F.row_number().over(Window.partitionBy(score, "slice_").orderBy(F.desc(time), *order))
+    return rows.join(n, [score, "slice_"]).withColumn("rank", F.col("above_") + F.col("newer_") + own).drop("slice_", "above_", "newer_")
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
