@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 import pytest
@@ -48,6 +49,16 @@ def test_web_search_ranks_all_documents(spark, tmp_path):
     assert max(-i for _, i in want) > 744 * 1000
 
 
+def test_macro_documents_of_all_events(spark, tmp_path):
+    ids = [0, 499, 500, 2999, 3000, 99_999, 123_456_789_012]
+    sf = put(spark, tmp_path, "events", [(i, float(i)) for i in ids] + [(7, None)], "event_id long, value double")
+    got = registry.QUERIES["macro_documents"](spark, sf).collect()
+    day = lambda i, lag: datetime.date(2020, 1, 1) + datetime.timedelta(i % 3000 + lag)
+    series = lambda i: f"series{i // 3000}" if i >= 3000 else "unrate"
+    assert {(r.doc_id, r.available_at) for r in got} == {(f"official_macro_{series(i)}_{day(i, 0)}", f"{day(i, 5)} 14:00:00") for i in ids}
+    assert len({r.doc_id for r in got}) == len(ids) == len(got)
+
+
 def counted(text):
     n = {k: sum(text.count(t) if " " in t else len(re.findall(rf"\b{t}\w*\b", text)) for t in v) for k, v in LEXICONS.items()}
     words, numbers = max(1, len(re.findall(r"[a-zA-Z][a-zA-Z\-']+", text))), len(re.findall(r"\b\d+(?:\.\d+)?%?\b", text, re.A))

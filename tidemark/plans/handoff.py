@@ -94,12 +94,29 @@ def section_extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(d, F.regexp_replace("body", "[^A-Za-z \n]", "")).filter("section_id <> 'full_filing'")
 
 
-@query("macro_documents", "SELECT 'official_macro_unrate_' || CAST(DATE '2020-01-01' + CAST(event_id AS INT) AS VARCHAR) AS doc_id, CAST(DATE '2020-01-01' + CAST(event_id + 5 AS INT) AS VARCHAR) || ' 14:00:00' AS available_at FROM events WHERE event_id < 500")
+#: Days of a series that events stand for.
+_DAYS = 3000
+
+
+@query("macro_documents")
 def macro_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = table(spark, sf_dir, "events").filter("event_id < 500").select(F.lit("UNRATE").alias("series"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("event_id").cast("int")).alias("day"), "value")
+    """Every event is an observation: _DAYS days of UNRATE, then as many of each further series."""
+    return _macro(table(spark, sf_dir, "events"))
+
+
+def _macro(events: DataFrame) -> DataFrame:
+    number, day = F.floor(F.col("event_id") / _DAYS), F.pmod("event_id", F.lit(_DAYS)).cast("int")
+    series = F.when(number == 0, "UNRATE").otherwise(F.concat(F.lit("SERIES"), number.cast("string")))
+    obs = events.select(series.alias("series"), F.date_add(F.lit("2020-01-01").cast("date"), day).alias("day"), "value")
     return files.macro_documents(obs, 5).select("doc_id", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
 
 
+@query("macro_documents_sql", "SELECT 'official_macro_unrate_' || CAST(DATE '2020-01-01' + CAST(event_id AS INT) AS VARCHAR) AS doc_id, CAST(DATE '2020-01-01' + CAST(event_id + 5 AS INT) AS VARCHAR) || ' 14:00:00' AS available_at FROM events WHERE event_id < 500")
+def macro_documents_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SQL says: the first 500 events."""
+    return _macro(table(spark, sf_dir, "events").filter("event_id < 500"))
+
+
 @query("date_universe", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, string_agg(DISTINCT 'T' || (user_id % 29), '|' ORDER BY 'T' || (user_id % 29)) AS tickers FROM events GROUP BY 1")
 def date_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), F.concat(F.lit("T"), (F.col("user_id") % 29).cast("string")).alias("tic"))
