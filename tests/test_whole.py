@@ -59,6 +59,23 @@ def test_macro_documents_of_all_events(spark, tmp_path):
     assert len({r.doc_id for r in got}) == len(ids) == len(got)
 
 
+def test_text_rules_of_whole_texts(spark, tmp_path):
+    from tidemark.operators import rules
+    from tidemark.plans.labels import _SAID
+
+    terms = [w.split("|")[-1] for w, _ in (*rules.DOCUMENT_TYPES, *rules.INTENTS, *rules.EVENT_TAGS)] + list(rules.RISK_TERMS)
+    rows = [(8 * i + 7, "filler " * 2000 + t.upper()) for i, t in enumerate(terms)] + [(8000, None), (8001, "")]
+    got = {r.doc_id: r for r in registry.QUERIES["text_rules"](spark, documents(spark, tmp_path, rows)).collect()}
+    holds = lambda words, t: any(w in t for w in words.split("|"))
+    first = lambda table, t, default: next((r for w, r in table if holds(w, t)), default)
+    for i, body in rows:
+        t = ((body or "") + " " + _SAID[i % 8]).lower()
+        assert got[i].document_type == first(rules.DOCUMENT_TYPES, t, "company_official_archive")
+        assert got[i].intent == first(rules.INTENTS, t, "company_risk" if i % 2 else "macro_growth")
+        assert got[i].event_tags == "|".join(sorted(["company_official", *(r for w, r in rules.EVENT_TAGS if holds(w, t))]))
+        assert got[i].risk_terms == "|".join(x for x in rules.RISK_TERMS if x in t)
+
+
 def counted(text):
     n = {k: sum(text.count(t) if " " in t else len(re.findall(rf"\b{t}\w*\b", text)) for t in v) for k, v in LEXICONS.items()}
     words, numbers = max(1, len(re.findall(r"[a-zA-Z][a-zA-Z\-']+", text))), len(re.findall(r"\b\d+(?:\.\d+)?%?\b", text, re.A))
