@@ -319,6 +319,19 @@ def test_decontaminate(spark, odd):
     assert decontaminate.clean(odd, item).count() == 9
 
 
+def test_decontaminate_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([f"w{rng.randint(0, 30)}", f"r{rng.randint(0, 400)}"]) for _ in range(rng.randint(12, 40))) for _ in range(40)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(90, ""), (91, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i if i % 5 else None, "pad " * 50 + " ".join(w for k, w in enumerate(t.split()) if k != 3 or i % 5 == 0)) for i, t in enumerate(texts)] + [(None, "clean text"), (None, None)], "doc_id long, text string")
+    rows = lambda: sorted((str(r.doc_id), r.item_id, round(r.score, 5)) for r in decontaminate.contaminated(docs, items, 0.5, 0.3).collect())
+    whole = rows()
+    assert len(whole) >= 30
+    assert [r.text for r in decontaminate.clean(docs, items, 0.5, 0.3).filter("doc_id IS NULL").collect()] == ["clean text", None]
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 21)
+    assert rows() == whole
+
+
 def test_index_finds_all_that_full_scoring_finds():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(60)]

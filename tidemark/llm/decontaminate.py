@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,8 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 class Index:
     """Inverted index of items with impacts as shares of each item's sum, in blocks with their maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: tuple[int, float, dict[int, int]] | None = None) -> None:
+        """whole: items with words, their mean length and in how many items a word is, of a benchmark that these items are a block of."""
         sizes: dict[int, int] = {}
 
         def as_words(text: str) -> np.ndarray:
@@ -93,11 +94,13 @@ class Index:
         found = Counter(w for bag in bags for w in bag)
         self.terms = np.array(sorted(found), dtype=np.uint64)
         number = {w: i for i, w in enumerate(self.terms.tolist())}
-        mean = sum(len(x[1]) for x in own) / max(1, len(own))
+        rows, mean = len(own), sum(len(x[1]) for x in own) / max(1, len(own))
+        if whole:
+            rows, mean, found = whole
         term, item, impact = [], [], []
         for j, bag in enumerate(bags):
             size = sum(bag.values())
-            raw = {w: np.log1p((len(own) - found[w] + 0.5) / (found[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH + LENGTH * size / mean)) for w, tf in bag.items()}
+            raw = {w: np.log1p((rows - found[w] + 0.5) / (found[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH + LENGTH * size / mean)) for w, tf in bag.items()}
             whole = sum(raw.values())
             term += [number[w] for w in raw]
             item += [j] * len(raw)
@@ -226,6 +229,27 @@ def _search(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
+def _statistics(items: DataFrame) -> Callable[[int], tuple[int, float, dict[int, int]]]:
+    """Of a block: items and mean length of the whole benchmark, and for the block's words in how many items of the whole they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, e, data, at in B.chunks(*B.utf8(batch.column(1))):
+                h, row, _ = word_hashes(data, at)
+                pairs = np.unique(np.rec.fromarrays([row, h], names="row,word")) if len(h) else np.rec.fromarrays([row, h], names="row,word")
+                block = batch.column(0).slice(f, e - f).to_numpy(zero_copy_only=False)
+                size = np.bincount(row, minlength=e - f)
+                blocks = np.concatenate([block[pairs["row"]], block[size > 0]]).astype(np.int64)
+                words = pa.array(np.concatenate([pairs["word"].view(np.int64), size[size > 0]]))
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), words, pa.array(np.arange(len(blocks)) >= len(pairs))], names=["block", "word", "length"])
+
+    rows = cut(items.select("block", "text").mapInArrow(B.trimmed(run), "block long, word long, length boolean"), "item-words")
+    n, size = rows.filter("length").agg(F.count("*"), F.coalesce(F.sum("word"), F.lit(0))).first()
+    words = rows.filter("NOT length")
+    known = cut(words.select("block", "word").distinct().join(words.groupBy("word").agg(F.count("*").alias("n")), "word"), "item-counts")
+    return lambda b: (n, size / max(1, n), {r.word % (1 << 64): r.n for r in known.filter(F.col("block") == b).toLocalIterator()})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of each confirmed hit of a text and an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
@@ -234,7 +258,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     if blocks > 1:  # blocks of whole items, some smaller than others: twice as many keep all of them within the bound
         blocks *= 2
         items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    found = [_search(docs, Index([(r.item_id, r.text) for r in (items.filter(F.col("block") == b) if blocks > 1 else items).orderBy("item_id", "text").toLocalIterator()], threshold), overlap) for b in range(blocks)]
+    own = _statistics(items) if blocks > 1 else lambda b: None
+    found = [_search(docs, Index([(r.item_id, r.text) for r in (items.filter(F.col("block") == b) if blocks > 1 else items).orderBy("item_id", "text").toLocalIterator()], threshold, own(b)), overlap) for b in range(blocks)]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -243,5 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
     """docs without those that hold an item; all columns stay. Hits are few, so they are what the join deals out."""
-    hits = cut(contaminated(docs, benchmark, threshold, overlap).select(F.col("doc_id").alias("hit")).distinct(), "hits")
-    return docs.join(hits, docs["doc_id"] == hits["hit"], "left_anti")
+    # A row without an id goes by its text, on which alone a hit depends.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    hits = cut(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, threshold, overlap).select(F.col("doc_id").alias("hit")).distinct(), "hits")
+    return docs.join(hits, key == F.col("hit"), "left_anti")
