@@ -1,14 +1,15 @@
 """HTML extraction: a recurrent block labeller over the leaf sequence of a page.
 
-A page is parsed into blocks: runs of text between tags that aren't inline, each with its path of tags, class and id words. Scripts,
-styles, templates and comments aren't text. A bidirectional LSTM (numpy) reads a vector for each block, of hashed path parts, hashed
-words and a few measures, and labels every block as main text or not with the whole page as context. It is trained, once a
-driver, on pages that `sample_page` writes: articles in many layouts with menus, headers, footers, side columns, notices, adverts,
-forms and reader comments around and inside them.
-
-Defined cases: a null or empty html gives an empty text; broken markup is read as far as it goes (open tags close with their parent,
-an end tag without a start is passed over); very long pages are labelled whole; repeated rows are labelled each; an empty table
-gives no rows; other columns pass through.
+A page is parsed into blocks: runs of text between tags that aren't inline, each in a tree of the tags it stands in, with class, id,
+role and itemprop words. Scripts, styles, templates, frames' stand-ins and comments aren't text; everything else is. A bidirectional
+LSTM (numpy) reads a vector for each block - hashed tags and names of its path, hashed words, measures of the block and of the parts of
+the page it stands in, and how far its path agrees with its neighbours' - and labels every block as main text or not with the whole
+page as context. It is trained, once a driver, on pages that html_layouts makes in eight families of layouts.
+
+Defined cases: a null or empty html gives an empty text; a page none of whose blocks reaches ENOUGH gives its blocks from LEAST on, the
+labeller's best guess, and an empty text only where there are none of these; broken markup is read as far as it goes (open tags close
+with their parent, an end tag without a start is passed over); very long and deeply nested pages are labelled whole, in time that grows
+with their length; repeated rows are labelled each; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.bytesops import trimmed
+from tidemark.llm.html_layouts import FAMILIES, MARK, made_page
 
-PATHS, WORDS, MEASURES, INNER, HIDDEN = 128, 64, 8, 32, 24
+#: Buckets of a path's tags and names, buckets of words, measures of a block, ancestors that are measured, and the network's widths.
+PATHS, WORDS, MEASURES, UP, INNER, HIDDEN = 192, 64, 17, 4, 40, 28
+WIDE = PATHS + WORDS + MEASURES + 4 * UP
+#: A block is main text from this chance on; where none is, from LEAST on.
+ENOUGH, LEAST = 0.4, 0.15
 #: Blocks that are labelled at once, padding included.
 AT_ONCE = 20_000
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup q s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNREAD = frozenset("script style template noscript svg math object iframe canvas".split())
+UNREAD = frozenset("script style template iframe".split())
 #: What an opening tag closes, if it is open: itself and its likes.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}
 #: Where the search for a tag to close ends.
@@ -41,29 +47,70 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 _PART = re.compile(r"[a-z]+")
 
 
+def _bit(word: str) -> int:
+    return 1 << zlib.crc32(word.encode("utf-8", "replace")) % PATHS
+
+
+@cache
+def _tag_bits(tag: str, outer: str) -> tuple[int, int]:
+    """Bits that a tag adds to its path, and those of a block that stands in it."""
+    return _bit(f"<{tag}"), _bit(f"@{tag}") | _bit(f"{outer}/{tag}")
+
+
+class Node:
+    """A tag that isn't inline; what is in it is added up when it closes."""
+
+    __slots__ = ("above", "tag", "depth", "bits", "inner", "chars", "linked", "stops", "blocks", "first", "prose", "texts")
+
+    def __init__(self, above: Node | None, tag: str, names: str, first: int = 0) -> None:
+        own, self.inner = _tag_bits(tag, above.tag if above else "")
+        for w in _PART.findall(names.lower()) if names else ():
+            own |= _bit(f".{w}")
+        self.above, self.tag = above, tag
+        self.depth, self.bits = (above.depth + 1, above.bits | own) if above else (0, own)
+        self.chars = self.linked = self.stops = self.blocks = self.prose = self.texts = 0
+        self.first = first
+
+
 class Blocks(HTMLParser):
-    """Collects (path, text, link characters) of each block."""
+    """Collects (node, text, link characters, ends of sentences, depth that its path shares with the block before) of each block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
+        self.top = Node(None, "", "")
+        self.stack: list[tuple[str, Node]] = []
+        self.found: list[tuple[Node, str, int, int, int]] = []
         self.text: list[str] = []
-        self.linked = 0
-        self.unread = 0
-        self.links = 0
+        self.open: dict[str, int] = {}
+        self.linked = self.unread = self.links = self.shared = 0
+
+    def node(self) -> Node:
+        return self.stack[-1][1] if self.stack else self.top
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.found.append((tuple(x[1] for x in self.stack if x[0] not in INLINE), text, self.linked))
+                n = self.node()
+                stops = text.count(".") + text.count("!") + text.count("?")
+                n.chars, n.linked, n.stops, n.blocks = n.chars + len(text), n.linked + self.linked, n.stops + stops, n.blocks + 1
+                # Text counts for the tag around its own; the second text right in a tag and those after it for that tag.
+                part = n if n.texts or not n.above else n.above
+                part.prose += len(text) - self.linked
+                n.texts += 1
+                self.found.append((n, text, self.linked, stops, min(self.shared, n.depth)))
+                self.shared = n.depth
             self.text, self.linked = [], 0
 
     def pop(self) -> None:
-        tag = self.stack.pop()[0]
+        tag, n = self.stack.pop()
+        self.open[tag] -= 1
         self.unread -= tag in UNREAD
         self.links -= tag == "a"
+        if n is not self.node():
+            up = n.above
+            up.chars, up.linked, up.stops, up.blocks = up.chars + n.chars, up.linked + n.linked, up.stops + n.stops, up.blocks + n.blocks
+            self.shared = min(self.shared, up.depth)
 
     def close_back(self, names: frozenset[str] | set[str]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -75,15 +122,17 @@ class Blocks(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in INLINE:
+        block = tag not in INLINE
+        if block:
             self.flush()
             if tag in ENDS_P:
                 self.close_back({"p"})
             if tag in CLOSES:
                 self.close_back(set(CLOSES[tag].split()))
         if tag not in VOID:
-            names = " ".join([v for k, v in attrs if k in ("class", "id", "role") and v])
-            self.stack.append((tag, f"{tag} {names.lower()}" if names else tag))
+            above = self.node()
+            self.stack.append((tag, Node(above, tag, " ".join([v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v]), len(self.found)) if block else above))
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.unread += tag in UNREAD
             self.links += tag == "a"
 
@@ -94,11 +143,12 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
+        if self.open.get(tag):
+            while self.stack:
+                found = self.stack[-1][0] == tag
+                self.pop()
+                if found:
+                    return
 
     def handle_data(self, data: str) -> None:
         if not self.unread:
@@ -107,44 +157,55 @@ class Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+def blocks(html: str | None) -> list[tuple[Node, str, int, int, int]]:
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    while parser.stack:
+        parser.pop()
     return parser.found
 
 
-@cache
-def _bucket(word: str, n: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % n
-
-
-def _path_parts(path: tuple[str, ...], cache_: dict[tuple[str, ...], list[int]] = {}) -> list[int]:  # noqa: B006
-    """Buckets of the tags, of their class and id words, and of the two innermost tags together."""
-    if path not in cache_:
-        if len(cache_) > 50_000:
-            cache_.clear()
-        parts = []
-        for one in path:
-            tag, _, names = one.partition(" ")
-            parts += [f"<{tag}"] + [f".{w}" for w in _PART.findall(names)]
-        parts.append("/".join(x.partition(" ")[0] for x in path[-2:]))
-        cache_[path] = sorted({zlib.crc32(x.encode("utf-8", "replace")) % PATHS for x in parts})
-    return cache_[path]
-
-
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(found: list[tuple[Node, str, int, int, int]]) -> np.ndarray:
     """One vector for each block of a page."""
-    out = np.zeros((len(found), PATHS + WORDS + MEASURES), np.float32)
+    n = len(found)
+    out = np.zeros((n, WIDE), np.float32)
+    if not n:
+        return out
+    bits = b"".join([(b[0].bits | b[0].inner).to_bytes(PATHS // 8, "little") for b in found])
+    out[:, :PATHS] = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(n, -1), axis=1, bitorder="little")
     known: dict[str, int] = {}
-    for i, (path, text, linked) in enumerate(found):
-        out[i, _path_parts(path)] = 1
+    hashed: list[int] = []
+    sizes: list[int] = []  # of each block and the tags around it: characters, of these in links, ends of sentences, blocks
+    rows = []
+    whole = sum(len(b[1]) for b in found)
+    # The tag with the most text outside links in blocks right under it, and where its blocks begin and end.
+    home = max((x for b in found for x in (b[0].above, b[0]) if x), key=lambda x: x.prose)
+    begin, end = home.first, home.first + home.blocks
+    for i, (node, text, linked, stops, shared) in enumerate(found):
         words = text.lower().split()
-        hashed = [known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace")) % WORDS) for w in words]
-        out[i, PATHS : PATHS + WORDS] = np.sqrt(np.bincount(hashed, minlength=WORDS) / len(words))
-        stops = text.count(".") + text.count("!") + text.count("?")
-        out[i, PATHS + WORDS :] = (np.log1p(len(text)) / 6, min(1.0, linked / len(text)), stops / (1 + len(words)) * 3, len(path) / 10, text[-1] in ".!?:;", np.log1p(len(words)) / 5, text[0] == "©", (i + 0.5) / len(found))
+        hashed += [i * WORDS + (known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace")) % WORDS)) for w in words]
+        sizes += (len(text), linked, stops, 1)
+        up: Node = node
+        for _ in range(UP):
+            sizes += (up.chars, up.linked, up.stops, up.blocks)
+            up = up.above or up
+        after = found[i + 1][4] if i + 1 < n else 0
+        sample = text[:120]
+        letters = sum(map(str.isalpha, sample))
+        rows.append((len(words), len(words[-1]), node.depth, shared, after, text[-1] in ".!?", text[-1] in ",:;", letters / len(sample), sum(map(str.isupper, sample)) / max(1, letters), (i + 0.5) / n, i, n - i, text[0].isdigit(), len(text), begin <= i < end, node.above is home or node is home, i >= end))
+    out[:, PATHS : PATHS + WORDS] = np.sqrt(np.bincount(hashed, minlength=n * WORDS).reshape(n, WORDS) / np.array([r[0] for r in rows])[:, None])
+    m = np.array(rows, dtype=np.float64)
+    depth = np.maximum(m[:, 2], 1)
+    out[:, PATHS + WORDS : PATHS + WORDS + MEASURES] = np.stack([
+        np.log1p(m[:, 0]) / 5, np.minimum(m[:, 1], 20) / 20, np.minimum(m[:, 2], 30) / 10, m[:, 3] / depth, m[:, 4] / depth, m[:, 5], m[:, 6], m[:, 7], m[:, 8], m[:, 9],
+        np.exp(-m[:, 10] / 4), np.exp(-m[:, 11] / 4), m[:, 12], np.log1p(m[:, 13]) / 6, m[:, 14], m[:, 15], m[:, 16],
+    ], axis=1)
+    around = np.array(sizes, dtype=np.float64).reshape(n, UP + 1, 4)
+    chars = np.maximum(around[:, :, 0], 1)
+    own = np.stack([np.log1p(around[:, 1:, 0]) / 8, (around[:, :, 1] / chars)[:, :UP], np.minimum(1.5, 20 * around[:, :, 2] / chars)[:, :UP], (around[:, :, 0] / whole)[:, 1:]], axis=2)
+    out[:, PATHS + WORDS + MEASURES :] = own.reshape(n, -1)
     return out
 
 
@@ -219,16 +280,16 @@ def _slope(m: dict[str, np.ndarray], s: dict[str, np.ndarray], y: np.ndarray) ->
     return fore | aft | {"E": s["x"].reshape(-1, s["x"].shape[2]).T @ flat, "e": flat.sum(axis=0), "o": (s["both"] * g[:, :, None]).sum(axis=(0, 1)), "q": np.array([g.sum()])}
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 4e-3, seed: int = 11) -> dict[str, np.ndarray]:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 48, rate: float = 8e-3, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    wide = PATHS + WORDS + MEASURES
-    shapes = {"E": (wide, INNER), "e": (INNER,), "o": (INNER + 2 * HIDDEN,), "q": (1,)} | {f"{k}{d}": s for d in "fb" for k, s in (("X", (INNER, 4 * HIDDEN)), ("H", (HIDDEN, 4 * HIDDEN)), ("B", (4 * HIDDEN,)))}
+    shapes = {"E": (WIDE, INNER), "e": (INNER,), "o": (INNER + 2 * HIDDEN,), "q": (1,)} | {f"{k}{d}": s for d in "fb" for k, s in (("X", (INNER, 4 * HIDDEN)), ("H", (HIDDEN, 4 * HIDDEN)), ("B", (4 * HIDDEN,)))}
     m = {k: (rng.normal(size=s) / np.sqrt(s[0]) * (len(s) > 1 or k == "o")).astype(np.float32) for k, s in shapes.items()}
     for d in "fb":
         m[f"B{d}"][HIDDEN : 2 * HIDDEN] = 1  # to remember at first
     mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     sizes, step = np.array([len(x) for x in pages]), 0
     total = epochs * -(-len(pages) // batch)
+    late = {k: np.zeros_like(v) for k, v in m.items()}
     for _ in range(epochs):
         order = np.argsort(sizes + rng.uniform(0, 8, len(sizes)))
         for part in rng.permutation(-(-len(pages) // batch)):
@@ -244,8 +305,10 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batc
                 g = g * min(1.0, 1.0 / max(norm, 1e-9))
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.999 * square[k] + 0.001 * g * g
-                m[k] = (m[k] - rate * (1 - 0.9 * step / total) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return m
+                m[k] = (m[k] - rate * (1 - 0.95 * step / total) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                if step > total - total // 4:
+                    late[k] += m[k] / max(1, total // 4)
+    return late if total >= 4 else m  # the mean of the last quarter's steps: the last step alone is chance
 
 
 def label(m: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -265,179 +328,31 @@ def label(m: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]
     return out
 
 
-_SYLLABLES = "an ba co de el fi gu ha in jo ka lu mi no or pe qua re st ti un ver wi xa yo zen ch é ü ñ ß ation ment lich ung ción ou th er".split()
-#: Words of the page's furniture; part of what its blocks say, in languages the pages may be in.
-_FURNITURE = {
-    "nav": "Home About Contact News Blog Products Services Login Archive Start Accueil Inicio Über",
-    "footer": "© 2024 All rights reserved Privacy Terms Imprint Impressum Datenschutz Contact Mentions légales",
-    "aside": "Related Popular Trending More Latest Archives Tags Categories Follow",
-    "notice": "We use cookies Accept Decline Settings This site uses cookies By continuing you agree",
-    "ad": "Advertisement Sponsored Anzeige Publicité Publicidad Buy now Offer Sale",
-    "form": "Email Name Subscribe Newsletter Search Send Submit Password Sign up",
-    "comments": "Reply says wrote ago Comments Like Report Permalink Commentaires Antworten",
-}
-_NAMES = {
-    "nav": (("nav", ""), ("nav", "menu"), ("div", "nav"), ("div", "menu main-menu"), ("ul", "breadcrumb"), ("div", "navbar"), ("nav", "site-nav")),
-    "header": (("header", ""), ("div", "header"), ("div", "masthead"), ("header", "site-header"), ("div", "topbar")),
-    "footer": (("footer", ""), ("div", "footer"), ("footer", "site-footer"), ("div", "copyright"), ("div", "bottom")),
-    "aside": (("aside", ""), ("div", "sidebar"), ("aside", "related"), ("div", "widget"), ("section", "related-posts"), ("div", "side")),
-    "notice": (("div", "cookie-banner"), ("div", "notice"), ("div", "alert"), ("div", "consent"), ("section", "notice"), ("div", "banner"), ("dialog", "")),
-    "ad": (("div", "ad"), ("div", "ads"), ("div", "advert"), ("aside", "ad"), ("div", "sponsor"), ("div", "promo"), ("ins", "adsbygoogle"), ("p", "advertisement")),
-    "form": (("form", ""), ("form", "search"), ("form", "newsletter"), ("div", "subscribe"), ("form", "signup")),
-    "comments": (("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("section", "responses"), ("div", "discussion"), ("aside", "comments")),
-}
-_HOMES = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("div", "post"), ("main", "main"), ("section", "story"), ("div", "text"), ("div", ""))
-
-
-def sample_page(rng: random.Random) -> tuple[str, list[int]]:
-    """A made-up page and, in block order, which blocks are main text."""
-    html: list[str] = []
-    labels: list[int] = []
-    vocabulary = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(120)]
-
-    # Articles are plain, shouted, full of symbols or bars, or repeat themselves; furniture is so now and then.
-    style = rng.choice(("plain",) * 8 + ("shout", "symbols", "bars", "repeat"))
-
-    def words(n: int) -> str:
-        own = style if rng.random() < 0.9 else "plain"
-        out = [rng.choice(vocabulary) for _ in range(n)]
-        if own == "shout":
-            return "!! ".join(out).upper() + rng.choice(("!!", ""))
-        if own == "symbols":
-            return " ".join(w + rng.choice(("###", "$$$", "%%%", "***", "&amp;&amp;&amp;", "")) for w in out)
-        if own == "repeat":
-            return " ".join([rng.choice(out)] * n if rng.random() < 0.5 else out)
-        return (" | " if own == "bars" else " ").join(out)
-
-    def sentence(n: int) -> str:
-        out = words(n)
-        return (out if style == "shout" else out[:1].upper() + out[1:]) + rng.choice((".", ".", ".", ".", ".", "!", "?", "", ",")) + (" ©" if rng.random() < 0.005 else "")
-
-    def put(text: str, main: int) -> None:
-        html.append(text)
-        labels.append(main)
-
-    def said(kind: str) -> str:
-        own = _FURNITURE[kind].split()
-        begin = rng.randrange(len(own))
-        extra = rng.choice((words(rng.randint(1, 4)), sentence(rng.randint(3, 14)), " ".join(own[begin : begin + 3])))
-        return extra if rng.random() < 0.6 else " ".join(own[begin : begin + rng.randint(1, 4)]) + " " + extra
-
-    def furniture(kind: str) -> None:
-        tag, names = rng.choice(_NAMES[kind])
-        html.append(f'<{tag} class="{names}">' if names else f"<{tag}>")
-        if kind == "nav" or kind == "aside" and rng.random() < 0.5:
-            html.append("<ul>")
-            for _ in range(rng.randint(1, 8)):
-                html.append("<li>")
-                put(f'<a href="/{words(1)}">{said("nav") if rng.random() < 0.4 else words(rng.randint(1, 3))}</a>', 0)
-                html.append(rng.choice(("</li>", "</li>", "")))
-            html.append("</ul>")
-        elif kind == "form":
-            for _ in range(rng.randint(1, 3)):
-                html.append("<p>")
-                put(f"<label>{said(kind)}</label>", 0)
-                html.append("</p><input>")
-            if rng.random() < 0.7:
-                html.append("<div>")
-                put(f"<button>{said(kind)}</button>", 0)
-                html.append("</div>")
-        elif kind == "comments":
-            if rng.random() < 0.6:
-                put(f"<h{(k := rng.randint(2, 4))}>{said(kind)}</h{k}>", 0)
-            for _ in range(rng.randint(1, 4)):
-                html.append(rng.choice(("<div>", '<div class="comment">', "<li>" if tag == "ol" else "<div>")))
-                inside = html[-1][1:4].strip(">")
-                for _ in range(rng.randint(1, 2)):
-                    put(f"<p>{said(kind) if rng.random() < 0.3 else ' '.join(sentence(rng.randint(3, 12)) for _ in range(rng.randint(1, 4)))}</p>", 0)
-                html.append("</li>" if inside == "li" else "</div>")
-        else:
-            if rng.random() < 0.4 and tag != "p":
-                for _ in range(rng.randint(1, 3)):
-                    put(f"<p>{said(kind if kind != 'header' else 'nav')}</p>", 0)
-            else:
-                put(said(kind if kind != "header" else "nav"), 0)
-        html.append(f"</{tag}>")
-
-    def main(n: int) -> None:
-        plain = rng.random() < 0.3
-        if rng.random() < 0.85:
-            put(f"<h1>{title}</h1>", 1)
-        if rng.random() < 0.4:
-            put(f"<p><b>{title}<br>", 1)
-        for _ in range(n):
-            kind = "p" if plain else rng.choice(("p", "p", "p", "p", "p", "h2", "ul", "blockquote", "bold", "pre", "table", "short"))
-            text = " ".join(sentence(rng.randint(1, 18)) for _ in range(rng.randint(1, 6)))
-            if kind == "p":
-                put(f"<p>{text}" + rng.choice(("</p>", "</p>", "</p>", "")), 1)
-            elif kind == "short":
-                put(f"<p>{sentence(1)}</p>", 1)
-            elif kind == "bold":
-                put(f"<p><b>{text}<br>", 1)
-            elif kind == "h2":
-                put(f"<h{(k := rng.randint(2, 4))}>{words(rng.randint(1, 6))}</h{k}>", 1)
-            elif kind == "ul":
-                html.append("<ul>")
-                for _ in range(rng.randint(1, 5)):
-                    put(f"<li>{words(rng.randint(2, 12))}</li>", 1)
-                html.append("</ul>")
-            elif kind == "table":
-                html.append("<table><tr>")
-                for _ in range(rng.randint(1, 4)):
-                    put(f"<td>{words(rng.randint(1, 3))}</td>", 1)
-                html.append("</tr></table>")
-            else:
-                html.append("<blockquote>" if kind == "blockquote" else "<div>")
-                put(f"<{'p' if kind == 'blockquote' else 'pre'}>{text}</{'p' if kind == 'blockquote' else 'pre'}>", 1)
-                html.append("</blockquote>" if kind == "blockquote" else "</div>")
-            if rng.random() < 0.06:
-                furniture(rng.choice(("ad", "ad", "form", "aside", "notice")))
-
-    html.append('<!DOCTYPE html><html><head><meta charset="utf-8">')
-    title = words(rng.randint(2, 9)) if rng.random() < 0.5 else sentence(rng.randint(1, 30))
-    put(f"<title>{title if rng.random() < 0.7 else words(rng.randint(2, 9))}</title>", 0)
-    html.append('<style>p{margin:0}</style><script>var t="</p>";</script></head><body>')
-    for kind, chance in (("notice", 0.3), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.5), ("notice", 0.2), ("aside", 0.2)):
-        if rng.random() < chance:
-            furniture(kind)
-    home, names = rng.choice(_HOMES) if rng.random() < 0.6 else _HOMES[0]
-    wrapped = rng.random() < 0.3
-    html.append("<div>" if wrapped else "")
-    html.append(f'<{home} class="{names}">' if names else f"<{home}>")
-    main(rng.choice((0, 1, 2, 4, 8, 16, 30)))
-    if rng.random() < 0.3:
-        furniture(rng.choice(("comments", "form", "aside", "ad")))
-    html.append(f"</{home}>" + "</div>" * wrapped)
-    for kind, chance in (("comments", 0.4), ("ad", 0.2), ("aside", 0.4), ("form", 0.2), ("footer", 0.85), ("notice", 0.2)):
-        if rng.random() < chance:
-            furniture(kind)
-    html.append(rng.choice(("</body></html>", "</body></html>", "")))
-    return "".join(html), labels
-
-
-def sample_pages(n: int, seed: int) -> tuple[list[list[tuple[tuple[str, ...], str, int]]], list[np.ndarray]]:
-    """Pages whose blocks are as many as their labels."""
+def sample_pages(n: int, seed: int, families: tuple[str, ...] = FAMILIES) -> tuple[list[list[tuple[Node, str, int, int, int]]], list[np.ndarray]]:
+    """Made-up pages, as many of each family, and which of their blocks are main text."""
     rng, pages, labels = random.Random(seed), [], []
-    while len(pages) < n:
-        html, own = sample_page(rng)
-        found = blocks(html)
-        if len(found) == len(own):
-            pages.append(found)
-            labels.append(np.array(own, np.float32))
+    for k in range(n):
+        found = blocks(made_page(rng, families[k % len(families)]))
+        labels.append(np.array([MARK in b[1] for b in found], np.float32))
+        pages.append([(b[0], b[1].replace(MARK, "") or "-", *b[2:]) for b in found])
     return pages, labels
 
 
 @cache
-def model(pages: int = 2000, seed: int = 5) -> dict[str, np.ndarray]:
+def model(pages: int = 2400, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> dict[str, np.ndarray]:
     """The labeller, trained once in a driver."""
-    found, labels = sample_pages(pages, seed)
-    return fit([vectors(x) for x in found], labels)
+    found, labels = sample_pages(pages, seed, families)
+    return fit([vectors(x) for x in found if x], [y for y in labels if len(y)])
 
 
 def main_text(m: dict[str, np.ndarray], pages: list[str | None]) -> list[str]:
     found = [blocks(x) for x in pages]
     chances = label(m, [vectors(x) for x in found])
-    return [" ".join(b[1] for b, p in zip(page, chance, strict=True) if p >= 0.5) for page, chance in zip(found, chances, strict=True)]
+    out = []
+    for page, chance in zip(found, chances, strict=True):
+        least = ENOUGH if (chance >= ENOUGH).any() else LEAST
+        out.append(" ".join(b[1] for b, p in zip(page, chance, strict=True) if p >= least))
+    return out
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, m: dict[str, np.ndarray] | None = None) -> DataFrame:
