@@ -86,7 +86,7 @@ def classes(rows, shingle, percent):
     return {(d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("shingle", "percent", "most"), [(3, 85, minhash.BLOCK), (5, 80, 25)])
+@pytest.mark.parametrize(("shingle", "percent", "most"), [(3, 85, minhash.BLOCK), (5, 80, 25), (3, 85, 4)])
 def test_minhash(spark, shingle, percent, most):
     rng = random.Random(shingle)
     base = [[rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(rng.randint(10, 60))] for _ in range(6)]
@@ -103,6 +103,32 @@ def test_minhash(spark, shingle, percent, most):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_minhash_hot_group_goes_by_leaders(spark):
+    """Edits of one text, most of them linked and some a chain away, in a group far over the size of a task."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 1, 2, 3, 5, 8))):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 20).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == classes(rows, 3, 85)
+
+
+def test_minhash_no_pattern_collides(spark):
+    """Thue-Morse words, on which polynomial hashes modulo a power of two agree whatever their base."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(1, words[0]), (2, words[1]), (3, "x y " + words[0]), (4, "x y " + words[1])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert all(r.kept for r in got) and len(got) == 4
+    data = np.frombuffer("".join(words).encode() * 2, np.uint8)
+    h = bytesops.word_hashes(data, np.array([0, 4096, 8192, 0]), np.array([4096, 8192, 12288, 64]))
+    assert h[0] == h[2] and len(set(h.tolist())) == 3
+
+
 def test_minhash_odd(spark, odd):
     got = minhash.near_duplicates(odd, 3, 85).collect()
     assert len(got) == 9 and sum(r.doc_id == 5 and r.component_id == 5 for r in got) == 2 and [r.component_id for r in got if r.doc_id is None] == [None]

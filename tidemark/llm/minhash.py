@@ -4,16 +4,27 @@ A text is lower-cased (A-Z) and cut into words `[^\x20\x09-\x0D]+`; its set hold
 sequence where there are fewer. Two documents are linked if 100 * intersection >= percent * union; a class is what links reach.
 
 How rows stay few: texts with equal sets collapse to their smallest doc_id first, counted before the shuffle. In each band bucket the
-packed bits give a spanning forest of likely pairs; what these forests connect is a neighbourhood, and no link leaves one. The full
-sets of a neighbourhood's members meet once, and give a spanning forest of confirmed links: a pair is confirmed or ruled out unless
-its ends are connected already. So a group of copies costs rows in proportion to its members, and no link between classes is passed
-over. Buckets and neighbourhoods of more than BLOCK members are dealt out as pairs of blocks.
+packed bits give a spanning forest of likely pairs; what these forests connect is a neighbourhood, and no link leaves one. A bucket
+of more than BLOCK members is one neighbourhood as it is: a star, a row a member. The full sets of a neighbourhood's members meet
+once, and give a spanning forest of confirmed links: a pair is confirmed or ruled out unless its ends are connected already.
+
+A neighbourhood of more than BLOCK members or BYTES bytes of sets goes by leaders: each member meets its smallest one, in as many tasks
+as that takes. Those linked with the leader are one class. 1 - similarity is a metric, so of the rest only those within twice the
+threshold's distance of the leader can be linked with that class, and only with its members far enough out; these two sides meet in
+blocks, and the rest goes on with a leader of its own. What LEADERS leaders leave meets as pairs of blocks. So a group of copies costs
+rows in proportion to its members; no link between classes is passed over.
+
+Rows that are to be joined with a frequent set, bucket or neighbourhood get it by broadcast: at most HOT of them (HOT a band) hold
+more than the HOT-th part of all rows. Links between classes of many members go through joins that Spark splits where they are skewed.
 
 Chances of a miss: no common band at the threshold, under 1e-9 a pair (bands follow from the threshold); packed bits that
-underestimate by more than SLACK deviations, under 1e-5 a pair, and only where that pair alone joins two classes.
+underestimate by more than SLACK deviations, under 1e-5 a pair, and only where that pair alone joins two classes. Sets hold 64-bit
+hashes of shingles: that any two of the shingles of two texts with n each share one by chance is under n * n / 2**64, 1e-9 for texts of
+100,000 words, and moves the intersection by one. Equal sets are told by two sums of such hashes and their size, some 128 bits.
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and are linked with nothing; rows with a null doc_id
-are their own class, null; a doc_id that occurs on several rows is linked by any of its texts; repeated rows give repeated rows;
+are their own class, null; a doc_id that occurs on several rows is linked by any of its texts that has a set; repeated rows give repeated rows; a doc_id is cast to
+a whole number, what isn't one counts as null or fails as Spark's setting for casts says;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -24,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut
 
-MINIMA, ROWS, BITS, SLACK, BLOCK = 256, 4, 2, 4.5, 8192
+MINIMA, ROWS, BITS, SLACK, BLOCK, BYTES, LEADERS, HOT = 256, 4, 2, 4.5, 2048, 1 << 26, 8, 4096
 _rng = np.random.default_rng(1729)
 _XOR = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +67,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.nda
     start, end, row = B.words(data, at)
     n = np.bincount(row, minlength=len(at) - 1)
     first = np.cumsum(n) - n
-    own = B.span_hashes(B.prefix_hashes(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    own = B.word_hashes(data, start, end)
     joined = np.zeros(max(0, len(own) - shingle + 1), np.uint64)
     for k in range(shingle):
         joined = B.mix(joined * np.uint64(B.BASE) + own[k : len(own) - shingle + 1 + k]) if len(joined) else joined
@@ -202,14 +214,85 @@ def _edges(members: DataFrame, keys: list[str], least: float, percent: int | Non
     return rows.mapInArrow(B.trimmed(run), "a long, b long").filter("a <> b").distinct()
 
 
-def _dealt(members: DataFrame, most: int) -> DataFrame:
-    """Adds block and pair: groups of n members over `most` as pairs of blocks, each member in every pair of its block."""
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    out = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+def _dealt(members: DataFrame) -> DataFrame:
+    """Adds block and pair: a group of several `blocks` as pairs of blocks, each member in every pair of its block."""
+    out = members.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.least("block", t) * F.col("blocks") + F.greatest("block", t))
     return out.withColumn("pair", F.explode(pairs)).drop("blocks")
 
 
+def _blocks(most: int, n: str = "n", size: str = "bytes") -> Column:
+    return F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(size) / BYTES), F.lit(1)).cast("int")
+
+
+def _met(left: DataFrame, right: DataFrame, key: list[str], weight: str, enough: float, how: str = "inner") -> DataFrame:
+    """left joined with right, one row a key; keys of more than `enough` rows of left, by right's column weight, by broadcast.
+
+    The weights add up to the rows of left, so few keys can weigh so much.
+    """
+    hot = F.broadcast(right.filter(F.col(weight) > enough))
+    rest = right.filter(F.col(weight) <= enough)
+    return left.join(hot, key).unionByName(left.join(hot.select(*key), key, "left_anti").join(rest, key, how))
+
+
+def _to_leaders(live: DataFrame) -> DataFrame:
+    """hood, rep, lead, both and union of each member of live and the smallest member of its hood; the leader itself not."""
+    lead = live.groupBy("hood").agg(F.min(F.struct("rep", "own")).alias("first"), F.max("blocks").alias("blocks"))
+    lead = lead.select("hood", F.col("first.rep").alias("lead"), F.col("first.own").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    dealt = live.select("hood", "rep", "own", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("salt"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, blank = ["hood", "rep", "lead", "both", "union"], pa.array([], pa.int64())
+        if not (left.num_rows and right.num_rows):
+            return pa.table([blank] * 5, names=names)
+        lead, own = right.column("lead")[0].as_py(), right.column("own")[0].as_py()
+        left = left.filter(pc.or_(pc.not_equal(left.column("rep"), lead), pc.not_equal(left.column("own"), pa.scalar(own, left.column("own").type))))
+        if not left.num_rows:
+            return pa.table([blank] * 5, names=names)
+        both, union = _shares(np.frombuffer(own, np.uint64), [np.frombuffer(x, np.uint64) for x in left.column("own").to_pylist()])
+        return pa.table([left.column("hood"), left.column("rep"), pa.array(np.full(left.num_rows, lead)), pa.array(both), pa.array(union)], names=names)
+
+    return dealt.groupBy("hood", "salt").cogroup(lead.select("hood", "salt", "lead", "own").groupBy("hood", "salt")).applyInArrow(B.trimmed_group(run), "hood long, rep long, lead long, both long, union long")
+
+
+def _large(live: DataFrame, least: float, percent: int, most: int) -> DataFrame:
+    """Links that connect all that confirmed links connect in hoods too large for one task; live has hood, rep, packed, own and blocks."""
+    found: list[DataFrame] = []
+    for _ in range(LEADERS):
+        met = cut(_to_leaders(live), "met")
+        linked = F.col("both") * 100 >= F.col("union") * percent
+        found.append(met.filter(linked).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+        rest = met.filter(~linked)
+        if rest.isEmpty():
+            break
+        share = F.col("both") / F.col("union")
+        near = rest.filter(F.col("both") * 100 >= F.col("union") * (2 * percent - 100)).select("hood", "rep", share.alias("share"))
+        most_near = near.groupBy("hood").agg(F.max("share").alias("top"), F.count("*").alias("n_near"))
+        out = met.filter(linked).join(most_near, "hood").filter(share <= F.col("top") + (1.001 - percent / 100)).select("hood", "rep", "n_near")
+        n_out = out.groupBy("hood").agg(F.count("*").alias("n_out"))
+        # Two sides in blocks: a block of one with every block of the other; `block` tells the sides apart.
+        sides = near.join(n_out, "hood").join(most_near, "hood").select("hood", "rep", F.col("n_near").alias("n"), F.col("n_out").alias("others"), F.lit(0).alias("block"))
+        sides = sides.unionByName(out.join(n_out, "hood").select("hood", "rep", F.col("n_out").alias("n"), F.col("n_near").alias("others"), F.lit(1).alias("block")))
+        mine, theirs = (F.ceil(F.col(c) / max(1, most // 2)).cast("int") for c in ("n", "others"))
+        sides = sides.withColumns({"own_block": F.pmod(F.xxhash64("rep"), mine).cast("int"), "theirs": theirs, "mine": mine}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+        pair = F.when(F.col("block") == 0, F.col("own_block") * F.col("theirs") + F.col("other")).otherwise(F.col("other") * F.col("mine") + F.col("own_block"))
+        cross = sides.select("hood", "rep", "block", pair.alias("pair")).join(live.select("hood", "rep", "packed", "own"), ["hood", "rep"])
+        found.append(cut(_edges(cross, ["hood", "pair"], least, percent), "crossing"))
+        live = live.drop("blocks").join(rest.select("hood", "rep"), ["hood", "rep"], "left_semi")
+        sizes = live.groupBy("hood").agg(F.count("*").alias("n"), F.sum(F.octet_length("own")).alias("bytes"))
+        live = cut(live.join(sizes.select("hood", _blocks(most).alias("blocks")), "hood"), "live")
+        found.append(_edges(live.filter("blocks = 1").withColumns({"block": F.lit(0)}), ["hood"], least, percent))
+        live = live.filter("blocks > 1")
+        if live.isEmpty():
+            break
+    else:
+        found.append(_edges(_dealt(live), ["hood", "pair"], least, percent))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class) for the nodes of the links: the smallest node that links reach, by labels that spread and jump until none changes."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -228,40 +311,50 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id = component_id) for each row of docs."""
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bands, least = bands_for(percent), least_estimate(percent)
+    bands, least, key = bands_for(percent), least_estimate(percent), ["n_shingles", "sum_a", "sum_b"]
     signed = cut(sign(docs, shingle, bands), "signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = cut(usable.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")), "reps")
-    named = usable.join(reps, ["n_shingles", "sum_a", "sum_b"])
-    own = cut(named.filter("doc_id = rep").select("rep", "bands", "packed"), "own")
-    spread = own.select("rep", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    members = spread.join(shared.select("band", "n"), "band").join(own.select("rep", "packed"), "rep")
-    likely = cut(_edges(_dealt(members, most), ["band", "pair"], least), "likely", release=True)
+    first = F.min_by(F.struct("bands", "packed"), "doc_id").alias("own")
+    reps = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), first), "reps")
+    enough = max(most, signed.count() / HOT)
+    spread = reps.select("rep", F.explode("own.bands").alias("band"))
+    buckets = cut(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"), "buckets")
+    placed = cut(_met(spread, buckets.select("band", "n", "low"), ["band"], "n", enough), "placed")
+    small = placed.filter(F.col("n") <= most).select("rep", "band").withColumn("block", F.lit(0)).join(reps.select("rep", "own.packed"), "rep")
+    stars = placed.filter(F.col("n") > most).select(F.col("low").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    likely = cut(_edges(small, ["band"], least).union(stars), "likely", release=True)
     hoods = components(likely)
-    sizes = hoods.groupBy("class").agg(F.count("*").alias("n"))
-    hoods = cut(hoods.join(sizes, "class").select(F.col("class").alias("hood"), F.col("node").alias("rep"), "n"), "hoods")
+    hoods = hoods.select(F.col("class").alias("hood"), F.col("node").alias("rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in B.chunks(*B.utf8(batch.column(1))):
                 hashes, counts = shingle_sets(data, at, shingle)
                 raw = [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                a, b, _, packed = signatures(hashes, counts, 0)
-                columns = [batch.column(0).slice(first, last - first), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "sum_a", "sum_b", "packed", "own"])
+                _, _, _, packed = signatures(hashes, counts, 0)
+                columns = [batch.column(0).slice(first, last - first), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "packed", "own"])
 
     wanted = docs.join(hoods.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = wanted.mapInArrow(B.trimmed(sets), "rep long, sum_a long, sum_b long, packed binary, own binary").filter("octet_length(own) > 0")
+    full = wanted.mapInArrow(B.trimmed(sets), "rep long, packed binary, own binary").filter("octet_length(own) > 0")
+    members = cut(full.dropDuplicates(["rep", "own"]).join(hoods, "rep"), "members")
+    sizes = members.groupBy("hood").agg(F.count("*").alias("n"), F.sum(F.octet_length("own")).alias("bytes"))
+    sizes = cut(sizes.withColumn("blocks", _blocks(most)).filter("n > 1"), "sizes")
+    placed = _met(members, sizes.select("hood", "blocks", "n"), ["hood"], "n", enough)
+    confirmed = _edges(placed.filter("blocks = 1").withColumn("block", F.lit(0)), ["hood"], least, percent)
+    if not sizes.filter("blocks > 1").isEmpty():
+        confirmed = confirmed.union(_large(cut(placed.filter("blocks > 1").drop("n"), "live"), least, percent, most))
     # A doc_id on several rows links all its sets.
-    several = named.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
-    several = several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b")).filter("a <> b")
-    confirmed = _edges(_dealt(full.join(hoods, "rep"), most), ["hood", "pair"], least, percent)
-    links = cut(confirmed.union(several), "links", release=True)
-    labels = components(links)
-    out = signed.join(reps, ["n_shingles", "sum_a", "sum_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-    out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(labels, "node", "left")
-    component = F.coalesce("class", "node")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    name = F.struct(*key)
+    several = usable.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low <> high").select("doc_id")
+    several = usable.select("doc_id", *key).join(several, "doc_id").distinct().join(reps.select(*key, "rep"), key)
+    several = several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    labels = components(cut(confirmed.union(several), "links", release=True))
+    known = reps.select(*key, "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.filter("copies > 1 OR class IS NOT NULL").select(*key, "copies", F.coalesce("class", "rep").alias("class"))
+    out = _met(usable.select("doc_id", *key), known, key, "copies", enough, "left")
+    # A set's smallest doc_id may be another's too, but a doc_id with several sets has a link with each.
+    out = out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+    alone = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
