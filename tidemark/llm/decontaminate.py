@@ -48,7 +48,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         data[1:][big] += 0x20
     spaced = np.where(_IN_WORD[data], data, np.uint8(32))
     start, end, row = B.words(spaced, at)
-    return (B.span_hashes(B.prefix_hashes(spaced), start, end) if len(start) else np.zeros(0, np.uint64)), row, end - start
+    return B.word_hashes(spaced, start, end), row, end - start
 
 
 def question_and_answer(text: str) -> tuple[str, str]:

@@ -45,7 +45,7 @@ def text_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash and bytes of each word, and the number of words of each text."""
     data = B.LOWER[data]
     start, end, row = B.words(data, at)
-    h = B.span_hashes(B.prefix_hashes(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    h = B.word_hashes(data, start, end)
     return h, end - start, np.bincount(row, minlength=len(at) - 1)
 
 
