@@ -172,6 +172,21 @@ def test_suffix_dedup(spark, odd, most):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_suffix_dedup_refuses_what_only_hashes_alike(spark):
+    """With hashes that say nothing, removals still rest on bytes."""
+    rng = random.Random(8)
+    line = "this line of more than fifty bytes stands in very many of the documents of this table. "
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(30)) + (line if i % 3 else "") + str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, text=False, digest=True).collect()}
+    assert sum(n >= len(line) for n, _ in want.values()) >= 130
+    raw = np.frombuffer(b"ab" * 50 + b"ac" * 50, np.uint8)
+    gone = suffix_dedup._within(raw, np.array([0, 100, 200]), np.array([1, 2]), np.array([0, 1]), np.array([0, 0]), np.array([60, 60]), np.zeros(2, np.uint64))
+    assert gone.tolist() == [False, False]
+    same = suffix_dedup._within(raw, np.array([0, 100, 200]), np.array([1, 2]), np.array([0, 1]), np.array([0, 0]), np.array([1, 1]), np.zeros(2, np.uint64))
+    assert same.tolist() == [False, True]
+
+
 def test_suffix_dedup_odd(spark, odd):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == 9 and all(r.n_removed == 0 for r in got) and {r.lang for r in got} == {9}

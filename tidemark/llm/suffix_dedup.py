@@ -4,15 +4,23 @@ Every string of `span` bytes has an anchor: the leftmost smallest hash among its
 anchors at equal places, so only suffixes at anchors (about one byte in 17) need comparing. A segment is all strings of one text
 with the same anchor.
 
-1. Segments travel packed, dealt out by the anchor's hash. Grams in one document alone drop out. A segment that is found whole in a
-   document with a smaller id is removed whole; segments that share only the anchor with others are asked for.
-2. Their bytes are fetched, and their suffixes sorted in each block: a mergesort whose comparisons find common extensions by binary
+1. Within a batch of texts, segments found whole in a document with a smaller id are removed at once, compared byte by byte; what
+   stands in a third of all documents leaves a batch once. The rest travels packed, dealt out by the anchor's hash. Grams in one
+   document alone drop out. A segment whose hash a document with a smaller id has is to be removed with that one; segments that share
+   only the anchor with others are asked for.
+2. At the documents, bytes asked for are fetched, and segments to be removed are joined to runs whose SHA-256 goes to the text they are
+   to be removed from. A run whose bytes there have another digest stays.
+3. Suffixes of what was fetched are sorted in each block: a mergesort whose comparisons find common extensions by binary
    search over prefix polynomial hashes, so that a comparison costs the logarithm of the length. Neighbours with a common extension
    are compared byte by byte; where hashes have collided, the block is sorted by bytes instead. Strings equal to the right and to
    the left of the anchor form a class; its smallest doc_id keeps the string.
-3. An anchor with more than BLOCK segments is dealt out in blocks; each block passes on one string a class, and the smallest doc_id
-   of those is found by an aggregate that counts before its shuffle.
-4. Removed ranges travel packed to their documents.
+4. An anchor with more than BLOCK segments is dealt out in blocks; each block passes on one string a class, and the smallest doc_id
+   of those is found by an aggregate over the strings themselves that counts before its shuffle.
+5. Removed ranges travel packed to their documents. There are as many parts as hold PART bytes of text, and no fewer than the session's
+   shuffle partitions; a task holds one part at a time.
+
+So no byte goes by a hash alone but SHA-256. Where two different segments agree in the 48 and 32 bits that travel, the one whose run is
+refused keeps its bytes even if a third document has them: a chance under 2**-40 for a part's segments.
 
 Defined cases: a null text counts as empty; texts under `span` bytes are kept whole; a null doc_id is smaller and greater than none:
 that row is kept whole and removes nothing; rows with the same doc_id don't remove from each other, each is cut by its own text;
@@ -22,10 +30,12 @@ strings are judged on the input; matches never cross documents; an empty table g
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +46,10 @@ from tidemark.llm.runtime import cut, partitions
 GRAM, BLOCK = 18, 20_000
 #: Bytes of text whose segments are packed together.
 PACKED = 1 << 24
-LOW5 = np.uint64((1 << 40) - 1)
+#: Bytes of text to a part.
+PART = 1 << 25
+#: Bytes of an anchor's hash and of a whole segment's that travel.
+GRAM_BYTES, WHOLE_BYTES = 4, 6
 
 
 def anchors(data: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -94,7 +107,51 @@ def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column(0).fill_null(0), dtype=np.int64), np.asarray(batch.column(0).is_valid())
 
 
-SEGMENTS = "p int, ids binary, tags binary, counts binary, first binary, meta binary, gram binary, whole binary"
+SEGMENTS = "p int, ids binary, tags binary, counts binary, first binary, meta binary, gram binary, whole binary, rows binary"
+
+
+def _low(values: np.ndarray, size: int) -> bytes:
+    """The lowest bytes of 64-bit words."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _high(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[a : a + size] and raw[b : b + size] are equal, some at a time."""
+    out = np.ones(len(a), dtype=bool)
+    each = max(1, (1 << 20) // max(1, int(size.max(initial=1))))
+    for f in range(0, len(a), each):
+        n = size[f : f + each]
+        same = raw[B.ragged(a[f : f + each], n)] == raw[B.ragged(b[f : f + each], n)]
+        out[f : f + each] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
+def _within(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which segments equal one of a smaller doc_id among them, byte by byte."""
+    order = np.lexsort((doc, key))
+    run = _runs(key[order])
+    lead = order[np.flatnonzero(np.append(True, run[1:] != run[:-1]))][run] if len(order) else order
+    may = (doc[order] > doc[lead]) & (size[order] == size[lead])
+    i, j = order[may], lead[may]
+    gone = np.zeros(len(doc), dtype=bool)
+    gone[i] = _equal(raw, at[row[i]] + first[i], at[row[j]] + first[j], size[i])
+    return gone
+
+
+def _joined(begin: np.ndarray, end: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the runs of rows with equal keys that overlap or touch, and where the runs end; rows are sorted by keys and begin."""
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = begin[1:] > end[:-1]
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    heads = np.flatnonzero(new)
+    return heads, np.maximum.reduceat(end, heads) if len(heads) else end
 
 
 def segments(docs: DataFrame, span: int, parts: int) -> DataFrame:
@@ -113,10 +170,16 @@ def segments(docs: DataFrame, span: int, parts: int) -> DataFrame:
                     found.append([x[keep] for x in (row + f, first - at[row], last - first, anchor - first, gram, whole)] + [_tags(data, at)])
                 row, first, length, off, gram, whole, tags = (np.concatenate(x) for x in zip(*found, strict=True))
                 doc_ids = ids[first_row:last_row]
+                gone = _within(raw, own_at, doc_ids[row], row, first, length + span, B.mix(whole + gram * np.uint64(B.BASE)))
+                heads, ends = _joined(first[gone], first[gone] + length[gone] + span, row[gone])
+                r = row[gone][heads]
+                done = _by_doc(parts, 0, doc_ids[r], tags[r], first[gone][heads], ends)
+                out = [(q, *[None] * 7, rows) for q, rows in zip(done.column("q").to_pylist(), done.column("rows").to_pylist(), strict=True)]
+                row, first, length, off, gram, whole = (x[~gone] for x in (row, first, length, off, gram, whole))
                 part = (gram % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                gram, out = gram // np.uint64(parts) & LOW5, []
+                gram = gram // np.uint64(parts)
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     o = order[cuts[p] : cuts[p + 1]]
                     r = row[o]
@@ -124,7 +187,7 @@ def segments(docs: DataFrame, span: int, parts: int) -> DataFrame:
                     own, delta = r[begin], np.diff(first[o], prepend=0)
                     delta[begin] = first[o][begin]
                     meta = np.stack([off[o], length[o]]).astype(np.uint8)
-                    out.append((p, doc_ids[own].tobytes(), tags[own].tobytes(), np.diff(np.append(begin, len(o))).astype(np.uint32).tobytes(), _small(delta).tobytes(), meta.tobytes(), gram[o].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), whole[o].tobytes()))
+                    out.append((p, doc_ids[own].tobytes(), tags[own].tobytes(), np.diff(np.append(begin, len(o))).astype(np.uint32).tobytes(), _small(delta).tobytes(), meta.tobytes(), _low(gram[o], GRAM_BYTES), _low(whole[o], WHOLE_BYTES), None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=SEGMENTS.replace(" binary", "").replace(" int", "").split(", "))
 
@@ -140,9 +203,7 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
         first = np.cumsum(_large(r["first"], n))
         first -= np.repeat(first[begin] - _large(r["first"], n)[begin], counts)
         meta = np.frombuffer(r["meta"], np.uint8).reshape(2, n)
-        gram = np.zeros((n, 8), np.uint8)
-        gram[:, :5] = np.frombuffer(r["gram"], np.uint8).reshape(n, 5)
-        row = (np.repeat(np.frombuffer(r["ids"], np.int64), counts), np.repeat(np.frombuffer(r["tags"], np.int64), counts), first, meta[0], meta[1], gram.view("<u8").ravel(), np.frombuffer(r["whole"], np.uint64))
+        row = (np.repeat(np.frombuffer(r["ids"], np.int64), counts), np.repeat(np.frombuffer(r["tags"], np.int64), counts), first, meta[0], meta[1], _high(r["gram"], GRAM_BYTES), _high(r["whole"], WHOLE_BYTES))
         for o, x in zip(out, row, strict=True):
             o.append(x)
     return tuple(np.concatenate(x) for x in out)
@@ -157,7 +218,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _by_doc(parts: int, kind: int, doc: np.ndarray, tag: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    """Rows packed by the part their document falls in: ranges to remove (kind 0) or segments asked for (kind 1)."""
+    """Rows packed by the part their document falls in: ranges to remove (kind 0), segments asked for (kind 1), segments to remove with their sources (2), runs with digests (3)."""
     q = (B.mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(q, kind="stable")
     cuts = np.searchsorted(q[order], np.arange(parts + 1))
@@ -167,9 +228,14 @@ def _by_doc(parts: int, kind: int, doc: np.ndarray, tag: np.ndarray, *more: np.n
 
 
 def resolve(packed: DataFrame, span: int, parts: int, most: int = BLOCK) -> DataFrame:
-    """Ranges that whole segments with smaller ids remove, and the segments whose bytes are needed; packed by document."""
+    """Segments that whole segments with smaller ids remove, by those, and the segments whose bytes are needed; packed by document."""
 
     def run(t: pa.Table) -> pa.Table:
+        ready = t.filter(pc.is_valid(t.column("rows")))
+        out = [pa.RecordBatch.from_arrays([ready.column("p").combine_chunks(), pa.array(np.zeros(ready.num_rows, np.int32)), ready.column("rows").combine_chunks()], names=["q", "kind", "rows"])]
+        t = t.filter(pc.is_null(t.column("rows")))
+        if not t.num_rows:
+            return pa.Table.from_batches(out)
         doc, tag, first, off, length, gram, whole = _unpack(t)
         order = np.lexsort((doc, whole, gram))
         doc, tag, first, off, length, gram, whole = (x[order] for x in (doc, tag, first, off, length, gram, whole))
@@ -179,11 +245,12 @@ def resolve(packed: DataFrame, span: int, parts: int, most: int = BLOCK) -> Data
         keep = shared[group]
         doc, tag, first, off, length, gram, whole = (x[keep] for x in (doc, tag, first, off, length, gram, whole))
         if not len(doc):
-            return pa.Table.from_batches([_by_doc(parts, 0, doc, tag, first, first)])
+            return pa.Table.from_batches(out)
         same = _runs(gram, whole)
-        least = doc[np.flatnonzero(np.append(True, same[1:] != same[:-1]))][same]
-        gone = doc > least
-        out = [_by_doc(parts, 0, doc[gone], tag[gone], first[gone], first[gone] + length[gone] + span)]
+        lead = np.flatnonzero(np.append(True, same[1:] != same[:-1]))[same]
+        gone = (doc > doc[lead]) & (length == length[lead])
+        source = lead[gone]
+        out.append(_by_doc(parts, 2, doc[source], tag[source], first[source], doc[gone], tag[gone], first[gone], length[gone].astype(np.int64) + span))
         # What is left of each gram, if documents differ still: one segment of a kind, or that document's repeats of it.
         left = ~gone
         doc, tag, first, off, length, gram = (x[left] for x in (doc, tag, first, off, length, gram))
@@ -243,8 +310,8 @@ def fetch(asked: DataFrame, docs: DataFrame, span: int, parts: int) -> DataFrame
     names = ["gram", "salt", "doc", "tag", "first", "off", "length", "bytes"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _rows_of(right, 1, 7)
-        if not rows.shape[1] or not left.num_rows:
+        rows, sources = _rows_of(right, 1, 7), _rows_of(right, 2, 7)
+        if not rows.shape[1] + sources.shape[1] or not left.num_rows:
             return pa.table([pa.array([], pa.binary() if n == "bytes" else pa.int64()) for n in names], names=names)
         left = _unpacked(left)
         raw, at = B.utf8(left.column("text"))
@@ -257,10 +324,33 @@ def fetch(asked: DataFrame, docs: DataFrame, span: int, parts: int) -> DataFrame
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         data = raw[B.ragged(start, size)]
         blobs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-        return pa.table([*[pa.array(x) for x in (gram, salt, doc, tag, first, off, length)], blobs], names=names)
+        asked = pa.table([*[pa.array(x) for x in (gram, salt, doc, tag, first, off, length)], blobs], names=names)
+        # Segments of one source and one target, at the same distance, as runs with digests, for the targets.
+        doc, tag, first, to, to_tag, to_first, size = sources
+        place, _ = _place(ids, tags, doc, tag)
+        apart = to_first - first
+        by = np.lexsort((first, apart, to_tag, to, place))
+        place, first, to, to_tag, apart, size = (x[by] for x in (place, first, to, to_tag, apart, size))
+        heads, ends = _joined(first, first + size, place, to, to_tag, apart)
+        begin = at[order[place[heads]]]
+        digests = _digests(raw, begin + first[heads], begin + ends)
+        runs = _by_doc(parts, 3, to[heads], to_tag[heads], first[heads] + apart[heads], ends + apart[heads], *digests)
+        q = runs.column("q").cast(pa.int64())
+        none = pa.array(np.zeros(len(q), np.int64))
+        return pa.concat_tables([asked, pa.table([q, pa.array(np.full(len(q), DIGESTS)), q, none, none, none, none, runs.column("rows")], names=names)])
 
     texts = _texts(docs, parts)
-    return texts.groupBy("q").cogroup(asked.filter("kind = 1").groupBy("q")).applyInArrow(B.trimmed_group(run), ", ".join(f"{n} {'binary' if n == 'bytes' else 'long'}" for n in names))
+    return texts.groupBy("q").cogroup(asked.filter("kind IN (1, 2)").groupBy("q")).applyInArrow(B.trimmed_group(run), ", ".join(f"{n} {'binary' if n == 'bytes' else 'long'}" for n in names))
+
+
+#: A salt that marks rows of digests on their way to the texts.
+DIGESTS = -1
+
+
+def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SHA-256 of raw[begin:end] for each pair, as four rows of 64-bit words."""
+    out = b"".join([hashlib.sha256(raw[b:e]).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 4).T
 
 
 class Suffixes:
@@ -335,12 +425,19 @@ def sorted_suffixes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tup
     return order, common
 
 
-FOUND = "q int, kind int, rows binary, string_a long, string_b long, doc long, tag long, first long"
+def _numbered(rows: np.ndarray) -> np.ndarray:
+    """A number for each row, equal where the rows are."""
+    return np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+
+
+FOUND = "q int, kind int, rows binary, string binary, doc long, tag long, first long"
 
 
 def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> DataFrame:
     """Sorts the suffixes at the anchors of each part; gives ranges to remove, and for blocks of large groups one string a class."""
 
+    fields = [x.split()[0] for x in FOUND.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -348,6 +445,13 @@ def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> Dat
         if not (held and sum(b.num_rows for b in held)):
             return
         t = pa.Table.from_batches(held)
+        ready = pc.equal(t.column("salt"), DIGESTS)
+        for b in t.filter(ready).to_batches():
+            blank = pa.nulls(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int32()), pa.array(np.full(b.num_rows, 3, np.int32)), b.column("bytes"), blank.cast(pa.binary()), *[blank.cast(pa.int64())] * 3], names=fields)
+        t = t.filter(pc.invert(ready))
+        if not t.num_rows:
+            return
         gram, salt, doc, tag, first, off, length = (t.column(i).to_numpy() for i in range(7))
         # Blocks that end between groups, so that memory holds one block's arrays.
         order = np.lexsort((salt, gram))
@@ -371,19 +475,17 @@ def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> Dat
                 # Runs of suffixes that agree for span - k bytes, split by the k bytes before the anchor and by block.
                 run_of = np.cumsum(common < span - k)
                 i = by[here]
-                before = B.span_hashes(prefix, a[i] - k, a[i])
-                keys = np.lexsort((d[i], s[i], before, run_of[here]))
-                i, r, h = i[keys], run_of[here][keys], before[keys]
-                klass = _runs(r, h, s[i])
-                head = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))
-                lead = i[head][klass]
-                if k:  # the bytes before the anchor, compared as they are
-                    same = data[B.ragged(a[i] - k, np.full(len(i), k))] == data[B.ragged(a[lead] - k, np.full(len(i), k))]
-                    ok = same.reshape(-1, k).all(axis=1)
-                else:
-                    ok = np.ones(len(i), dtype=bool)
-                if not ok.all():
-                    raise RuntimeError("two strings with equal hashes differ")
+                left = data[B.ragged(a[i] - k, np.full(len(i), k))].reshape(len(i), k)  # the bytes before the anchor
+                for exact in (False, True):
+                    before = _numbered(left) if exact else B.span_hashes(prefix, a[i] - k, a[i])
+                    keys = np.lexsort((d[i], s[i], before, run_of[here]))
+                    r, h, block = run_of[here][keys], before[keys], s[i][keys]
+                    klass = _runs(r, h, block)
+                    lead = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))[klass]
+                    # Compared as they are; where hashes have collided, classes are told by the bytes themselves.
+                    if (left[keys] == left[keys][lead]).all():
+                        break
+                i, lead = i[keys], i[keys][lead]
                 gone = d[i] > d[lead]
                 gone_row.append(i[gone])
                 gone_at.append(first[o][i[gone]] + off[o][i[gone]] - k)
@@ -393,13 +495,12 @@ def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> Dat
             if gone_row:
                 row, place = np.concatenate(gone_row), np.concatenate(gone_at)
                 packed = _by_doc(parts, 0, d[row], g[row], place, place + span)
-                blank = pa.nulls(packed.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*packed.columns, *[blank] * 5], names=[x.split()[0] for x in FOUND.split(", ")])
+                blank = pa.nulls(packed.num_rows)
+                yield pa.RecordBatch.from_arrays([*packed.columns, blank.cast(pa.binary()), *[blank.cast(pa.int64())] * 3], names=fields)
             for row, place, byte in reps:
-                one = B.span_hashes(prefix, byte, byte + span)
-                ends = B.BYTE_WORDS[data[byte]] * B.mix(one) ^ B.mix(B.span_hashes(prefix, byte, byte + span // 2))
                 none = pa.nulls(len(row))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), *[pa.array(x) for x in (one.view(np.int64), ends.view(np.int64), d[row], g[row], place)]], names=[x.split()[0] for x in FOUND.split(", ")])
+                strings = pa.array([data[b : b + span].tobytes() for b in byte.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), strings, *[pa.array(x) for x in (d[row], g[row], place)]], names=fields)
 
     return fetched.repartition(parts, "gram", "salt").mapInArrow(B.trimmed(run), FOUND)
 
@@ -415,18 +516,23 @@ def _packed_rows(rows: DataFrame, span: int, parts: int) -> DataFrame:
     return rows.select("doc", "tag", "first").mapInArrow(B.trimmed(run), "q int, kind int, rows binary")
 
 
-def removed(docs: DataFrame, span: int = 50, most: int = BLOCK) -> DataFrame:
-    """Ranges of bytes to remove (kind 0), packed by document; see the module."""
-    parts = partitions(docs.sparkSession)
+def removed(docs: DataFrame, span: int, parts: int, most: int = BLOCK) -> DataFrame:
+    """Ranges of bytes to remove (kind 0), and runs to remove if their bytes have the digest (kind 3), packed by document; see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut(resolve(segments(docs, span, parts), span, parts, most), "resolved")
     _release(docs)
     second = cut(compare(fetch(first, docs, span, parts), span, parts, most), "compared")
     _release(docs)
-    reps = second.filter("string_a IS NOT NULL")
-    least = reps.groupBy("string_a", "string_b").agg(F.min("doc").alias("least"))
-    third = _packed_rows(reps.join(least, ["string_a", "string_b"]).filter("doc > least"), span, parts)
-    return first.filter("kind = 0").unionByName(second.filter("kind = 0").select("q", "kind", "rows")).unionByName(third)
+    reps = second.filter("string IS NOT NULL")
+    least = reps.groupBy("string").agg(F.min("doc").alias("least"))
+    third = _packed_rows(reps.join(least, "string").filter("doc > least"), span, parts)
+    return first.filter("kind = 0").unionByName(second.filter("kind IN (0, 3)").select("q", "kind", "rows")).unionByName(third)
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts to deal the texts out in, by their bytes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(partitions(docs.sparkSession), -(-size // PART))
 
 
 def _release(df: DataFrame) -> None:
@@ -441,12 +547,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, text: bool = True, digest: b
     With `digest`, kept_sha256 stands in for the bytes. Where a cut falls inside a character, its loose bytes go from the text (not
     from kept).
     """
-    import hashlib
-
-    parts = partitions(docs.sparkSession)
+    parts = parts_for(docs)
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()) if digest else T.StructField("kept", T.BinaryType())]
     own = [c for c in docs.columns if c not in {f.name for f in new} | {"doc_id", "text"}]
-    ranges = removed(docs, span, most)
+    ranges = removed(docs, span, parts, most)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = _texts(docs, parts, *own)
     fields = [f for f in docs.select("doc_id", "text", *own).schema.fields if text or f.name != "text"]
@@ -456,11 +560,15 @@ def remove_repeats(docs: DataFrame, span: int = 50, text: bool = True, digest: b
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in types], names=schema.fieldNames())
         left = _unpacked(left)
-        doc, tag, begin, end = _rows_of(right, 0, 4)
+        sure, runs = _rows_of(right, 0, 4), _rows_of(right, 3, 8)
         raw, at = B.utf8(left.column("text"))
         ids = np.asarray(left.column("doc_id").combine_chunks().fill_null(0), dtype=np.int64)
         named = np.asarray(left.column("doc_id").combine_chunks().is_valid())
         tags = np.concatenate([_tags(data, a) for _, _, data, a in B.chunks(raw, at)])
+        place, order = _place(ids, tags, *runs[:2])
+        own = at[order[place]]
+        same = (_digests(raw, own + runs[2], own + runs[3]) == runs[4:]).all(axis=0)
+        doc, tag, begin, end = np.concatenate([sure, runs[:4, same]], axis=1)
         place, order = _place(ids, tags, doc, tag)
         by = np.argsort(place, kind="stable")
         place, begin, end = place[by], begin[by], end[by]
