@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import diagnostics, evaluation, handoff, labels, linking, panel, retrieval, selection, textfeatures  # noqa: F401
+    from tidemark.plans import diagnostics, evaluation, handoff, labels, linking, panel, retrieval, search, selection, textfeatures  # noqa: F401
