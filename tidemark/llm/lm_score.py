@@ -4,11 +4,13 @@ A word is a run of bytes other than white space, lower-cased (A-Z). The commones
 an id each; the others share BUCKETS ids by hash. A window network in numpy adds vectors of the WINDOW words to the left and to the
 right, squashes the sum, and predicts the masked word's id as a class and a member of it. A word of a shared id has, beyond that, its own share of
 the id by the counts of all words; a word that was never counted has one part of the id's count plus one, spelled byte by byte. It starts from the corpus's word counts and
-is trained on every document: in each of ROUNDS rounds every task trains its own copy on its part of that round's documents, and the
-copies are averaged by the words they have seen. What is gathered grows with the corpus: counts of all its words, and a copy for each
-task; both are summed before and in a shuffle, and the driver gets the chosen words and one model. Words of shared ids meet the table of counts
-in packed parts by hash, which no machine holds whole. Sums are of whole numbers,
-so their order doesn't matter.
+is trained on every document: rows are dealt by a hash of text and doc_id to one of ROUNDS rounds and to a shard; in each round every
+shard trains its own copy on its texts in the order of their hashes, in batches of BATCH words that run across texts, and the copies
+are averaged by the words they have seen. Shards follow from the number of words alone (a shard about SHARD words, more words a shard
+from MANY shards on), so neither the number of tasks, nor of machines, nor lost executors move a score. What is gathered grows with the
+corpus: counts of all its words, and a copy for each shard, added up where it was trained and then in a tree of sums; the driver gets
+the chosen words and one model. Words of shared ids meet the table of counts in packed parts by hash, which no machine holds whole.
+Sums are of whole numbers, so their order doesn't matter.
 
 Defined cases: null and empty texts have no words, a log_likelihood of 0 and a null per_word; rows with a null doc_id are scored and
 trained on; repeated rows count each; very long texts are read whole; an empty table gives no rows; other columns aren't read.
@@ -16,6 +18,7 @@ trained on; repeated rows count each; very long texts are read whole; an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut, partitions
+from tidemark.plans.shipping import ship
 
-CLASSES, MEMBERS, BUCKETS, WIDTH, WINDOW, ROUNDS = 32, 32, 64, 24, 2, 2
+CLASSES, MEMBERS, BUCKETS, WIDTH, WINDOW, ROUNDS = 64, 64, 64, 24, 2, 2
 IDS = CLASSES * MEMBERS
 EDGE = IDS  # stands beyond the ends of a text
 BATCH, RATE = 4096, 0.1
+#: Words of a shard, and the number of shards from which on they get larger instead of more.
+SHARD, MANY = 1 << 20, 1024
 #: Weights are summed as whole numbers of 2**-20, each times the thousands of words a copy has seen.
 FIXED = 1 << 20
 #: Logarithms of shares are summed as whole numbers of 2**-32.
@@ -116,51 +122,64 @@ def windows(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([wide[place + k] for k in range(-WINDOW, WINDOW + 1) if k])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, written over z, and the log-probability of each row's own place; z is held within -60 to 60."""
+    np.clip(z, -60, 60, out=z)
+    at = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z *= (1 / total)[:, None]
+    return z, at - np.log(total)
 
 
 def forward(net: Net, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """Log-probability of each id given the words around it, and what training needs."""
-    h = net["b"] + net["T"][0][around[0]]
+    h = net["T"][0][around[0]]
     for k in range(1, 2 * WINDOW):
         h += net["T"][k][around[k]]
-    h = np.tanh(h)
-    c, r, n = ids // MEMBERS, ids % MEMBERS, np.arange(len(ids))
-    lc = _log_softmax(h @ net["Wc"] + net["bc"])
+    h += net["b"]
+    np.tanh(h, out=h)
+    c, r = ids // MEMBERS, ids % MEMBERS
+    pc, lc = _softmax(h @ net["Wc"] + net["bc"], c)
     hc = h + net["Ec"][c]
-    lr = _log_softmax(hc @ net["Wr"] + net["br"][c])
-    return lc[n, c] + lr[n, r], h, hc, lc, lr
+    z = hc @ net["Wr"]
+    z += net["br"][c]
+    pr, lr = _softmax(z, r)
+    return lc + lr, h, hc, pc, pr
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
+    """Sums of the values by row; values are taken over again where there are more rows."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # of two-byte numbers, a radix sort
     own = rows[order]
     begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[begin], np.add.reduceat(values[order], begin)
+    return own[begin], np.add.reduceat(values[order % len(values)], begin)
+
+
+_SHIFT = (np.arange(2 * WINDOW) * (IDS + 1))[:, None]
 
 
 def train(net: Net, square: Net, around: np.ndarray, ids: np.ndarray) -> None:
     """Steps of Adagrad over the words, in batches; net and square change in place."""
+    table, table_square = net["T"].reshape(-1, WIDTH), square["T"].reshape(-1, WIDTH)
     for f in range(0, len(ids), BATCH):
         x, a = ids[f : f + BATCH], around[:, f : f + BATCH]
-        _, h, hc, lc, lr = forward(net, a, x)
-        c, n = x // MEMBERS, np.arange(len(x))
-        dc, dr = np.exp(lc), np.exp(lr)
+        _, h, hc, dc, dr = forward(net, a, x)
+        c, n, each = x // MEMBERS, np.arange(len(x)), np.float32(1 / len(x))
         dc[n, c] -= 1
         dr[n, x % MEMBERS] -= 1
-        dc, dr = dc / len(x), dr / len(x)
+        dc *= each
+        dr *= each
         dhc = dr @ net["Wr"].T
         dh = (dc @ net["Wc"].T + dhc) * (1 - h * h)
         for k, g in (("Wc", h.T @ dc), ("bc", dc.sum(axis=0)), ("Wr", hc.T @ dr), ("b", dh.sum(axis=0))):
             square[k] += g * g
             net[k] -= RATE * g / np.sqrt(square[k])
-        for k, rows, values in (("Ec", c, dhc), ("br", c, dr), *((("T", j), a[j], dh) for j in range(2 * WINDOW))):
+        for w, s, rows, values in ((net["Ec"], square["Ec"], c, dhc), (net["br"], square["br"], c, dr), (table, table_square, (a + _SHIFT).ravel(), dh)):
             at, g = _row_sums(rows, values)
-            w, s = (net[k], square[k]) if isinstance(k, str) else (net["T"][k[1]], square["T"][k[1]])
-            s[at] += g * g
-            w[at] -= RATE * g / np.sqrt(s[at])
+            own = s[at] + g * g
+            s[at] = own
+            w[at] -= RATE * g / np.sqrt(own)
 
 
 def _flat(net: Net) -> np.ndarray:
@@ -175,41 +194,98 @@ def _shaped(flat: np.ndarray, like: Net) -> Net:
     return out
 
 
-def one_round(docs: DataFrame, v: Vocabulary, net: Net, n: int, rounds: int) -> Net:
-    """Each task trains a copy on those of its documents whose turn is round n; the average of the copies."""
+class _Copy:
+    """A shard's own copy of the net in training."""
+
+    def __init__(self, net: Net) -> None:
+        self.net = {k: x.copy() for k, x in net.items()}
+        self.square = {k: np.full_like(x, 1e-8) for k, x in net.items()}
+        self.ids: list[np.ndarray] = []
+        self.around: list[np.ndarray] = []
+        self.waiting = self.seen = 0
+
+    def add(self, ids: np.ndarray, around: np.ndarray, last: bool = False) -> None:
+        """Trains on whole batches of what has come so far, and with `last` on the rest."""
+        self.ids.append(ids)
+        self.around.append(around)
+        self.waiting += len(ids)
+        if self.waiting >= BATCH or last:
+            x, a = np.concatenate(self.ids), np.concatenate(self.around, axis=1)
+            whole = len(x) if last else len(x) // BATCH * BATCH
+            train(self.net, self.square, a[:, :whole], x[:whole])
+            self.ids, self.around, self.waiting, self.seen = [x[whole:]], [a[:, whole:]], len(x) - whole, self.seen + whole
+
+    def summed(self) -> tuple[np.ndarray, int]:
+        self.add(np.zeros(0, np.int32), np.zeros((2 * WINDOW, 0), np.int32), last=True)
+        weight = -(-self.seen // 1000)
+        return np.rint(_flat(self.net).astype(np.float64) * FIXED).astype(np.int64) * weight, weight
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all."""
+    values, weight = None, 0
+    for batch in batches:
+        for raw, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(raw.as_buffer(), np.int64)
+            values, weight = own + values if values is not None else own, weight + n
+    if values is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([weight])], names=["values", "weight"])
+
+
+def shards(words: int, rounds: int) -> int:
+    """How many copies are trained in a round."""
+    each = words // rounds
+    return max(1, min(each // SHARD, MANY), each // (SHARD * 64))
+
+
+def one_round(docs: DataFrame, v: Vocabulary, net: Net, n: int, rounds: int, copies: int) -> Net:
+    """Each shard trains a copy on the documents of round n; the average of the copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: x.copy() for k, x in net.items()}
-        square = {k: np.full_like(x, 1e-8) for k, x in net.items()}
-        seen = 0
+        values, weight, now, own = None, 0, None, None
         for batch in batches:
-            for _, _, data, at in B.chunks(*B.utf8(batch.column(0))):
-                h, counts = text_words(data, at)
-                # A text's turn is by its words, so that a text is read in one round wherever it stands.
-                first = np.cumsum(counts) - counts
-                turn = np.zeros(len(counts), np.int64)
-                turn[counts > 0] = (np.add.reduceat(h, first[counts > 0]) % np.uint64(rounds)).astype(np.int64) if len(h) else 0
-                keep = np.repeat(turn == n, counts)
-                ids, counts = v.ids(h[keep]), counts[turn == n]
-                train(own, square, windows(ids, counts), ids)
-                seen += len(ids)
-        if seen:
-            weight = max(1, seen // 1000)
-            values = np.rint(_flat(own).astype(np.float64) * FIXED).astype(np.int64) * weight
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), weight))], names=["place", "value", "weight"])
-
-    copies = docs.select("text").mapInArrow(B.trimmed(run), "place int, value long, weight long")
-    rows = copies.groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toPandas()
-    flat = _flat(net).astype(np.float64)
-    flat[rows["place"].to_numpy()] = rows["value"].to_numpy() / rows["weight"].to_numpy() / FIXED
-    return _shaped(flat, net)
+            shard = batch.column(0).to_numpy()
+            raw, places = B.utf8(batch.column(2))
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for f, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if f == e:
+                    continue
+                if shard[f] != now:
+                    if own is not None:
+                        more, many = own.summed()
+                        values, weight = more if values is None else values + more, weight + many
+                    now, own = shard[f], _Copy(net)
+                for _, _, data, at in B.chunks(raw, places[f : e + 1]):
+                    h, counts = text_words(data, at)
+                    ids = v.ids(h)
+                    own.add(ids, windows(ids, counts))
+        if own is not None:
+            more, many = own.summed()
+            values, weight = more if values is None else values + more, weight + many
+            yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([weight])], names=["values", "weight"])
+
+    key = F.xxhash64("doc_id", "text")  # with the doc_id, so that copies of one text are dealt to many shards
+    rows = docs.select(key.alias("key"), "text").filter(F.col("text").isNotNull() & (F.pmod("key", F.lit(rounds)) == n))
+    rows = rows.select(F.pmod(F.shiftrightunsigned("key", 16), F.lit(copies)).alias("shard"), "key", "text")
+    parts = max(copies, 1)
+    trained = rows.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(B.trimmed(run), "values binary, weight long")
+    few = math.isqrt(parts)
+    if few > 1:
+        trained = trained.repartition(few).mapInArrow(_added, "values binary, weight long")
+    found = trained.coalesce(1).mapInArrow(_added, "values binary, weight long").collect()
+    if not found:
+        return net
+    return _shaped(np.frombuffer(found[0][0], np.int64) / max(1, found[0].weight) / FIXED, net) if found[0].weight else net
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Vocabulary, Net]:
-    v = vocabulary(cut(count_words(docs), "words") if counts is None else counts)
+    ship(docs.sparkSession)
+    counts = cut(count_words(docs), "words") if counts is None else counts
+    v = vocabulary(counts)
     net = start_net(v)
+    copies = shards(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rounds)
     for n in range(rounds):
-        net = one_round(docs, v, net, n, rounds)
+        net = one_round(docs, v, net, n, rounds, copies)
     return v, net
 
 
@@ -336,5 +412,7 @@ def word_scores(docs: DataFrame, v: Vocabulary, net: Net, counts: DataFrame) ->
 
 
 def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, log_likelihood and per_word of each row."""
+    ship(docs.sparkSession)
     counts = cut(count_words(docs), "words")
     return word_scores(docs, *fit(docs, rounds, counts), counts)
