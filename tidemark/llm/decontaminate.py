@@ -13,8 +13,11 @@ A hit is confirmed if at least `overlap` of the five-word shingles of the item's
 The question ends with the last `?`; without one, the last sentence is the answer; an item of one sentence is halved.
 
 Defined cases: null and empty texts and items have no words and match nothing; repeated rows are hits each; an item_id on several
-rows is several items of that name; an empty benchmark or an empty table gives no rows; extra columns are not read. An index of up to
-ITEMS_AT_ONCE items and CHARS_AT_ONCE characters is sent to the executors; a larger benchmark is searched in blocks of that size.
+rows is several items of that name, and items without an id are searched like others, with null in their hits; an empty benchmark or
+an empty table gives no rows; extra columns are not read; ids are cast to whole numbers. clean() judges rows by their texts alone: a
+null or repeated doc_id neither saves a row nor costs one. An index of up to ITEMS_AT_ONCE items and CHARS_AT_ONCE characters is sent
+to the executors; a larger benchmark is searched in blocks within these bounds, one after another, each over all documents; an item of
+more characters than that makes a block of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut
+from tidemark.plans.shipping import ship
 
 K1, LENGTH, BLOCK, SHINGLE = 1.2, 0.75, 2, 5
 #: Cells of a table of impacts that is held whole.
@@ -87,7 +92,7 @@ class Index:
         own = [(i, as_words(t), [as_words(x) for x in question_and_answer(t)]) for i, t in items if t]
         own = [x for x in own if len(x[1])]
         self.threshold = threshold - 1e-9
-        self.ids = np.array([x[0] for x in own], dtype=np.int64)
+        self.ids = pa.array([x[0] for x in own], pa.int64())
         self.parts = [x[2] for x in own]
         self.longest = max((len(x[1]) for x in own), default=1)
         bags = [Counter(x[1].tolist()) for x in own]
@@ -188,45 +193,68 @@ class Index:
         return out[0], out[1]
 
 
-def _search(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
+def _hits(ix: Index, data: np.ndarray, at: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(text, item) of each confirmed hit, with its score and overlaps."""
+    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    unit = max(64, ix.longest)
+    h, row, _ = word_hashes(data, at)
+    if not len(h) or not len(ix.terms):
+        return out
+    n = np.bincount(row, minlength=len(at) - 1)
+    first = np.cumsum(n) - n
+    units = np.maximum(1, -(-n // unit))
+    base = np.cumsum(units) - units
+    of_unit = base[row] + (np.arange(len(h)) - first[row]) // unit
+    place = np.minimum(np.searchsorted(ix.terms, h), len(ix.terms) - 1)
+    known = ix.terms[place] == h
+    pairs = np.unique(of_unit[known] * len(ix.terms) + place[known])
+    u = pairs // len(ix.terms)
+    # Passage u is units u and u + 1 of one text.
+    before = u > np.repeat(base, units)[u]
+    both = np.unique(np.concatenate([pairs, pairs[before] - len(ix.terms)]))
+    passage, item, score = ix.search(both // len(ix.terms), both % len(ix.terms))
+    text_of = np.repeat(np.arange(len(n)), units)
+    for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
+        r = int(text_of[p])
+        begin = int(first[r]) + (p - int(base[r])) * unit
+        q, a = ix.overlaps(i, h[begin : min(begin + 2 * unit, int(first[r] + n[r]))])
+        if q >= overlap and a >= overlap:
+            out[r, i] = max(out.get((r, i), (0.0, 0.0, 0.0)), (s, q, a))
+    return out
+
+
+def _search(docs: DataFrame, index: Index, overlap: float, key: str) -> DataFrame:
+    """The column key of each text that holds an item, with the item and the scores."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    names = [key, "item_id", "score", "question_overlap", "answer_overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = shared.value
-        unit = max(64, ix.longest)
         for batch in batches:
             for f, _, data, at in B.chunks(*B.utf8(batch.column(1))):
-                h, row, _ = word_hashes(data, at)
-                if not len(h) or not len(ix.terms):
-                    continue
-                n = np.bincount(row, minlength=len(at) - 1)
-                first = np.cumsum(n) - n
-                units = np.maximum(1, -(-n // unit))
-                base = np.cumsum(units) - units
-                of_unit = base[row] + (np.arange(len(h)) - first[row]) // unit
-                place = np.minimum(np.searchsorted(ix.terms, h), len(ix.terms) - 1)
-                known = ix.terms[place] == h
-                pairs = np.unique(of_unit[known] * len(ix.terms) + place[known])
-                u, t = pairs // len(ix.terms), pairs % len(ix.terms)
-                # Passage u is units u and u + 1 of one text.
-                before = u > np.repeat(base, units)[u]
-                both = np.unique(np.concatenate([pairs, pairs[before] - len(ix.terms)]))
-                passage, item, score = ix.search(both // len(ix.terms), both % len(ix.terms))
-                text_of = np.repeat(np.arange(len(n)), units)
-                out: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
-                    r = int(text_of[p])
-                    begin = int(first[r]) + (p - int(base[r])) * unit
-                    q, a = ix.overlaps(i, h[begin : min(begin + 2 * unit, int(first[r] + n[r]))])
-                    if q >= overlap and a >= overlap:
-                        out[r, i] = max(out.get((r, i), (0.0, 0.0, 0.0)), (s, q, a))
+                out = _hits(ix, data, at, overlap)
                 if out:
                     rows = batch.column(0).take(pa.array([f + r for r, _ in out]))
-                    scores = [pa.array([v[k] for v in out.values()]) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([rows, pa.array(ix.ids[[i for _, i in out]]), *scores], names=names)
+                    items = ix.ids.take(pa.array([i for _, i in out]))
+                    yield pa.RecordBatch.from_arrays([rows, items, *[pa.array([v[k] for v in out.values()]) for k in range(3)]], names=names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(B.trimmed(run), f"`{key}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+
+
+def _without(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
+    """The rows of docs whose text holds no item."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, dtype=bool)
+            for f, _, data, at in B.chunks(*B.utf8(batch.column(place))):
+                stays[[f + r for r, _ in _hits(shared.value, data, at, overlap)]] = False
+            yield batch.filter(pa.array(stays))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.trimmed(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.mapInArrow(B.trimmed(run), docs.schema)
 
 
 def _statistics(items: DataFrame) -> Callable[[int], tuple[int, float, dict[int, int]]]:
@@ -250,25 +278,59 @@ def _statistics(items: DataFrame) -> Callable[[int], tuple[int, float, dict[int,
     return lambda b: (n, size / max(1, n), {r.word % (1 << 64): r.n for r in known.filter(F.col("block") == b).toLocalIterator()})
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
-    """doc_id, item_id, score, question_overlap and answer_overlap of each confirmed hit of a text and an item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[tuple[int, Index]]:
+    """How many blocks there are, and the index of each; one is held at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     rows, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-rows // ITEMS_AT_ONCE), -(-chars // CHARS_AT_ONCE))
-    if blocks > 1:  # blocks of whole items, some smaller than others: twice as many keep all of them within the bound
-        blocks *= 2
-        items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    own = _statistics(items) if blocks > 1 else lambda b: None
-    found = [_search(docs, Index([(r.item_id, r.text) for r in (items.filter(F.col("block") == b) if blocks > 1 else items).orderBy("item_id", "text").toLocalIterator()], threshold, own(b)), overlap) for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+    if rows <= ITEMS_AT_ONCE and chars <= CHARS_AT_ONCE:
+        yield 1, _index(items, threshold)
+        return
+    # Items fall by their place, not by what they say, into lots, and lots are put together up to the bounds.
+    lots = 8 * max(1, -(-rows // ITEMS_AT_ONCE), -(-chars // CHARS_AT_ONCE))
+    items = cut(items.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lots))), "items")
+    block, n, size, of = 0, 0, 0, []
+    for r in items.groupBy("lot").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy("lot").toLocalIterator():
+        if n and (n + r.n > ITEMS_AT_ONCE or size + r.size > CHARS_AT_ONCE):
+            block, n, size = block + 1, 0, 0
+        n, size = n + r.n, size + r.size
+        of.append((r.lot, block))
+    table = items.sparkSession.createDataFrame(of, "lot long, block int")
+    items = cut(items.join(table, "lot").select("item_id", "text", "block"), "items")
+    own = _statistics(items)
+    for b in range(block + 1):
+        yield block + 1, _index(items.filter(F.col("block") == b), threshold, own(b))
+
+
+def _index(items: DataFrame, threshold: float, whole: tuple[int, float, dict[int, int]] | None = None) -> Index:
+    return Index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").toLocalIterator()], threshold, whole)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """doc_id (or another column, key), item_id, score, question_overlap and answer_overlap of each confirmed hit of a text and an item."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(key).cast("long").alias(key) if key == "doc_id" else key, "text")
+    out = None
+    for blocks, index in _indexes(benchmark, threshold):
+        found = _search(docs, index, overlap, key)
+        found = found if blocks == 1 else cut(found, "hits")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
-    """docs without those that hold an item; all columns stay. Hits are few, so they are what the join deals out."""
-    # A row without an id goes by its text, on which alone a hit depends.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    hits = cut(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, threshold, overlap).select(F.col("doc_id").alias("hit")).distinct(), "hits")
-    return docs.join(hits, key == F.col("hit"), "left_anti")
+    """docs without those that hold an item; all columns stay.
+
+    With one block rows are judged where they are, without a shuffle. With several, rows go by the SHA-256 of their texts, on which alone
+    a hit depends; hits are few, so they are what the join deals out.
+    """
+    ship(docs.sparkSession)
+    rest = _indexes(benchmark, threshold)
+    blocks, index = next(rest)
+    if blocks == 1:
+        return _without(docs, index, overlap)
+    named = docs.select(F.sha2("text", 256).alias("text_sha256"), "text")
+    hits = [cut(_search(named, ix, overlap, "text_sha256").select("text_sha256").distinct(), "hits") for ix in chain([index], (i for _, i in rest))]
+    gone = hits[0]
+    for more in hits[1:]:
+        gone = gone.union(more)
+    return docs.join(cut(gone.distinct(), "hits"), F.sha2(docs["text"], 256) == F.col("text_sha256"), "left_anti")
