@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, bytesops, chat, decontaminate, html_extract, lm_score, minhash, quality_model, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import bpe, bytesops, chat, decontaminate, html_extract, lm_score, minhash, quality_model, quality_rules, queries, suffix_dedup, token_counts
 from tidemark.llm.queries import vocabulary
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,15 +145,8 @@ def test_b_bit_estimate_is_near():
         assert abs(float(minhash.estimates(packed[0], packed[1])) - k / (8000 - k)) < 0.1
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.BLOCK, 7])
-def test_suffix_dedup(spark, odd, most):
-    rng = random.Random(3)
-    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(30, 300))) for _ in range(8)]
-    rows = []
-    for i in range(120):
-        t = "".join(rng.choice([rng.choice(base)[rng.randint(0, 100) :][: rng.randint(20, 200)], "".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), "ha" * rng.randint(0, 40)]) for _ in range(rng.randint(0, 5)))
-        rows.append((i if i % 10 else rng.choice([i, i // 2, None]), t if i % 37 else None))
-    rows += rows[:3]
+def without_repeats(rows):
+    """doc_id as text, bytes, bytes removed, runs removed and digest of what is left of each row, string by string."""
     first: dict[bytes, int] = {}
     raws = [(d, (t or "").encode()) for d, t in rows]
     for d, b in raws:
@@ -167,6 +160,19 @@ def test_suffix_dedup(spark, odd, most):
                 gone[i : i + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((str(d), len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.BLOCK, 7])
+def test_suffix_dedup(spark, odd, most):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(30, 300))) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        t = "".join(rng.choice([rng.choice(base)[rng.randint(0, 100) :][: rng.randint(20, 200)], "".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), "ha" * rng.randint(0, 40)]) for _ in range(rng.randint(0, 5)))
+        rows.append((i if i % 10 else rng.choice([i, i // 2, None]), t if i % 37 else None))
+    rows += rows[:3]
+    want = without_repeats(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffix_dedup.remove_repeats(df, text=False, digest=True, most=most).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
@@ -296,11 +302,29 @@ def test_lm_score(spark, odd):
     assert lm_score.lm_score(odd.limit(0)).count() == 0
 
 
+def test_lm_score_does_not_depend_on_tasks(spark, monkeypatch):
+    """Shards follow from the corpus: 1, 8 and 40 partitions, in whatever order, give the same scores; training beats the counts on texts it hasn't seen."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    seen, unseen = docs.filter("doc_id % 4 > 0").cache(), docs.filter("doc_id % 4 = 0")
+    monkeypatch.setattr(lm_score, "SHARD", 4000)
+    assert lm_score.shards(seen.selectExpr("sum(size(split(trim(text), ' ')))").first()[0], 2) > 4
+    every = []
+    for parts in (1, 8, 40):
+        v, net = lm_score.fit(seen.repartition(parts, F.rand(parts)))
+        every.append({r.doc_id: r.per_word for r in lm_score.score(unseen.repartition(parts), v, net).collect()})
+    assert all(every[0][d] == pytest.approx(x[d], rel=1e-6) for x in every for d in x)
+    monkeypatch.undo()
+    counts = lm_score.cut(lm_score.count_words(seen), "words")
+    v, net = lm_score.fit(seen, counts=counts)
+    mean = lambda n: lm_score.word_scores(unseen, v, n, counts).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    assert mean(net) > mean(lm_score.start_net(v)) + 0.02
+
+
 def test_lm_score_of_words(spark, odd):
     """Every word has a probability of its own: rare words share an id by their counts, unseen ones are spelled."""
-    rare = [f"rare{i}" for i in range(1500)]
+    rare = [f"rare{i}" for i in range(6000)]
     rng = random.Random(2)
-    rows = [(i, " ".join(["The", "common", *rng.choices(rare, k=20)])) for i in range(400)] + [(None, "rare1 rare2"), (None, None)]
+    rows = [(i, " ".join(["The", "common", *rng.choices(rare, k=20)])) for i in range(1200)] + [(None, "rare1 rare2"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = lm_score.count_words(docs)
     v, net = lm_score.fit(docs)
@@ -315,17 +339,17 @@ def test_lm_score_of_words(spark, odd):
             return 0.0
         return (np.log(n[w]) if n[w] else -np.log(257) * (len(w.encode()) + 1)) - np.log(sums[key(w) % lm_score.BUCKETS] + 1)
 
-    asked = docs.unionByName(spark.createDataFrame([(1000, "the common rare3"), (1001, "zq1 zq2 zq3")], "doc_id long, text string"))
+    asked = docs.unionByName(spark.createDataFrame([(5000, "the common rare3"), (5001, "zq1 zq2 zq3")], "doc_id long, text string"))
     ids = {r.doc_id: r for r in lm_score.score(asked, v, net).collect() if r.doc_id is not None}
     got = lm_score.word_scores(asked, v, net, counts).collect()
     assert len(got) == len(rows) + 2 and sum(r.doc_id is None for r in got) == 2
-    texts = {i: t for i, t in rows} | {1000: "the common rare3", 1001: "zq1 zq2 zq3"}
+    texts = {i: t for i, t in rows} | {5000: "the common rare3", 5001: "zq1 zq2 zq3"}
     for r in got:
         if r.doc_id is not None:
             want = ids[r.doc_id].log_likelihood + sum(map(share, texts[r.doc_id].lower().split()))
             assert r.log_likelihood == pytest.approx(want, rel=1e-6, abs=1e-4)
     by = {r.doc_id: r.per_word for r in got}
-    assert by[1000] > by[1001] + 5
+    assert by[5000] > by[5001] + 5
     whole = {r.doc_id: r.log_likelihood for r in lm_score.lm_score(docs).collect() if r.doc_id is not None}
     assert sum(whole.values()) < sum(ids[i].log_likelihood for i in whole) - 5 * len(whole)
     assert len(lm_score.lm_score(odd).collect()) == 9
@@ -388,6 +412,49 @@ def test_decontaminate_scores_do_not_depend_on_blocks(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_clean_judges_rows_by_their_texts(spark, monkeypatch):
+    """Items and rows without ids, ids on several rows, repeated rows: in one block and in many."""
+    items = [(None, "Which river is the longest of all the rivers of the known world? It is the river that runs by the old town."), (2, "What do the seven blue birds sing about in the morning hours? They sing of rain and wind.")]
+    items += [(10 + i, f"Question number {i} asks what item {i} of the long list may be called? It is called thing number {i} by all.") for i in range(8)]
+    dirty = [f"some words before it {t} and some words after it" for _, t in items]
+    rows = [(None, dirty[0]), (1, dirty[1]), (1, "a clean text that shares its id with one that is not"), (None, "clean and without an id"), (5, dirty[2]), (5, dirty[2]), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(3))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    left = sorted((str(d), str(t), 3) for d, t in rows if t not in dirty)
+    hits = {(None, None), (1, 2), (5, 10)}
+    for most in (20_000, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", most)
+        assert sorted((str(r.doc_id), str(r.text), r.score) for r in decontaminate.clean(docs, benchmark).collect()) == left
+        found = decontaminate.contaminated(docs, benchmark).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == hits and len(found) == 4
+        assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(rows) and decontaminate.clean(docs.limit(0), benchmark).count() == 0
+    sizes = [len(ix.ids) for _, ix in decontaminate._indexes(benchmark, 0.7)]
+    assert sum(sizes) == len(items) and max(sizes) <= 3
+
+
+def test_quality_model_does_not_see_held_out_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(queries.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = ({r.doc_id: r.score for r in queries.quality_scores(docs, x, ["doc_id"]).collect()} for x in (labels, turned))
+    assert a == pytest.approx(b, abs=1e-9) and len(a) == docs.count() and all(0 <= x <= 1 for x in a.values())
+
+
+def test_long_texts(spark):
+    """Texts of ten million bytes, one of them a single word, beside short ones."""
+    rng = random.Random(6)
+    line = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)) + "\n"
+    long = "".join(line[rng.randint(0, 5) :] for _ in range(850))
+    rows = [(1, long), (2, long + "end"), (3, "x" * 10_000_000), (4, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in minhash.near_duplicates(docs, 3, 85).orderBy("doc_id").collect()] == [1, 1, 3, 4]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, text=False, digest=True).collect()}
+    assert got[2].n_removed >= len(long) and got[1].n_removed == got[3].n_removed == 0
+    item = line[:400] + "? " + line[400:700]
+    hit = decontaminate.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in hit} == {1, 2}
+
+
 def test_index_finds_all_that_full_scoring_finds():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(60)]

@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The vocabulary is a file of ranks (base64 of the bytes, rank); its merges are found again from the ranks. The library works on
-characters that stand for bytes; ids, character offsets and decoding go through that table. White space is split off first: between
-a space and a word that follows it every match of the pattern ends, so each run of one batch needs encoding once only.
+characters that stand for bytes; ids, character offsets and decoding go through that table. With the pattern SPACED, every match ends
+before a space that a word follows, so texts are cut there and each run of one batch needs encoding once only; with another pattern a
+text is one run.
 
-Defined cases: a null text is encoded as the empty text, without tokens; ids that cut a character in two decode to the bytes
+Defined cases: a null text is encoded as the empty text, without tokens; null ids are decoded as none, to no bytes; ids that cut a character in two decode to the bytes
 exactly, and to U+FFFD where text is asked for, unless the rest of the character follows (decode_stream); ids outside the vocabulary
 are an error; repeated rows, ties and extra columns pass through untouched; an empty table gives no rows.
 """
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.bytesops import ragged, trimmed
+from tidemark.plans.shipping import ship
 
 #: Texts that are encoded between two looks at memory, in characters, and distinct runs a worker remembers.
 BLOCK_CHARS = 1 << 21
 REMEMBERED = 400_000
 #: Runs that are encoded as one text.
 JOINED = 512
+#: Fixed value: the pattern of the public byte-level vocabularies.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that white space or nothing follows.
 GAP = re.compile(r" (?:\s|$)")
 
@@ -141,7 +145,7 @@ class ByteBPE:
             return flat, total[ends] - total[ends - counts]
 
         for text in texts:
-            found = split_runs(text or "")
+            found = split_runs(text or "") if self.pattern == SPACED else [(text,)] if text else []
             runs += found
             counts.append(len(found))
             chars += len(text or "")
@@ -209,6 +213,7 @@ def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, offsets: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, and token_ids and token_starts and token_ends (characters) if asked for, to the columns `keep` (all by default)."""
+    ship(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in {"n_tokens", "token_ids", "token_starts", "token_ends"}]
     ints = T.ArrayType(T.IntegerType(), False)
     more = [T.StructField("n_tokens", T.LongType(), False), *[T.StructField("token_ids", ints)] * ids, *[T.StructField(x, ints) for x in ("token_starts", "token_ends") if offsets]]
@@ -237,6 +242,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: bool = False, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Adds decoded (the bytes), or decoded_text with `text`; with `digest` only ids_sha256 and decoded_sha256, so that no bytes travel."""
+    ship(df.sparkSession)
     new = ["ids_sha256", "decoded_sha256"] if digest else ["decoded_text" if text else "decoded"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     kind = T.StringType() if digest or text else T.BinaryType()

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.bytesops import trimmed
 from tidemark.llm.html_layouts import FAMILIES, MARK, made_page
+from tidemark.plans.shipping import ship
 
 #: Buckets of a path's tags and names, buckets of words, measures of a block, ancestors that are measured, and the network's widths.
 PATHS, WORDS, MEASURES, UP, INNER, HIDDEN = 192, 64, 17, 4, 40, 28
@@ -357,6 +358,7 @@ def main_text(m: dict[str, np.ndarray], pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, m: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Adds text, the main text of each page, to the columns `keep` (all but html by default)."""
+    ship(pages.sparkSession)
     m = m or model()
     keep = [c for c in ([c for c in pages.columns if c != html] if keep is None else keep) if c != "text"]
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType())])

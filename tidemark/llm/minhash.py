@@ -40,7 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesops as B
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, drop
+from tidemark.plans.shipping import ship
 
 MINIMA, ROWS, BITS, SLACK, BLOCK, BYTES, LEADERS, HOT = 256, 4, 2, 4.5, 2048, 1 << 26, 8, 4096
 _rng = np.random.default_rng(1729)
@@ -298,19 +299,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(edges.filter("a <> b").distinct(), "edges")
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class")), "labels")
+    whole = labels
     while True:
         seen = edges.join(labels.select(F.col("node").alias("b"), F.col("class").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
         step = step.join(jump, "class", "left").select("node", "old", F.coalesce(F.least("class", "further"), "class").alias("class"))
         step = cut(step, "labels")
-        labels = step.select("node", "class")
+        drop(whole)
+        whole, labels = step, step.select("node", "class")
         if step.filter("class <> old").isEmpty():
+            drop(edges)
             return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id = component_id) for each row of docs."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands, least, key = bands_for(percent), least_estimate(percent), ["n_shingles", "sum_a", "sum_b"]
     signed = cut(sign(docs, shingle, bands), "signed")

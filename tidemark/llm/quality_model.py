@@ -4,8 +4,9 @@ A passage is PASSAGE words. Each is described by shares of character classes, wo
 hidden layer; gated attention weighs the passages of a text, and the weighted sum is scored. All of it, attention included, is learned
 from labels of whole texts by Adam in numpy. Only the text is an input.
 
-It is fitted on at most `most` labelled texts, those with the smallest hash of their doc_id; the features are made where the texts
-are, and only numbers travel to the driver. Scoring reads every passage of every text.
+It is fitted on at most `most` labelled texts, those with the smallest hash of their doc_id, and of each on at most `each` passages at
+even distances, first and last included; the features are made where the texts are, and only numbers travel to the driver: at most
+most * each * FEATURES two-byte numbers, 42 MB. Scoring reads every passage of every text.
 
 Defined cases: null and empty texts have one passage without words; labels that are null are left out, and of several labels of a
 doc_id the largest holds; without labels every score is 0.5; repeated rows are scored each; other columns pass through; an empty
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytesops as B
+from tidemark.plans.shipping import ship
 
 PASSAGE, HASHED, HIDDEN, GATE = 64, 64, 32, 16
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:", "!?", "#", "*", "$%&", "|<>{}[]\\/", "'\"()-")
@@ -127,8 +129,14 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 40, batch
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> dict[str, np.ndarray]:
-    """Fits on the `most` labelled texts with the smallest hash of doc_id; labels has doc_id and label (0 or 1)."""
+def _even(n: int, most: int) -> np.ndarray:
+    """Places of at most `most` of n passages, at even distances."""
+    return np.arange(n) if n <= most else np.rint(np.linspace(0, n - 1, most)).astype(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, each: int = 64) -> dict[str, np.ndarray]:
+    """Fits on the `most` labelled texts with the smallest hash of doc_id, `each` passages a text; labels has doc_id and label (0 or 1)."""
+    ship(docs.sparkSession)
     chosen = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows of two numbers: small enough to send
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -138,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> dict[str, np.
             for f, e, data, at in B.chunks(*B.utf8(batch.column(1))):
                 x, text_of = passages(data, at)
                 cuts = np.searchsorted(text_of, np.arange(e - f + 1))
-                raw = [x[cuts[i] : cuts[i + 1]].astype(np.float16).tobytes() for i in range(e - f)]
+                raw = [x[begin:end][_even(end - begin, each)].astype(np.float16).tobytes() for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, e - f), batch.column(2).slice(f, e - f), pa.array(raw, pa.binary())], names=["doc_id", "label", "x"])
 
     rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(B.trimmed(run), "doc_id long, label double, x binary").collect()
@@ -149,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> dict[str, np.
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1) to the columns `keep` of docs, all by default."""
+    ship(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
