@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
-Every stage but the last returns the columns of documents. A null doc_id is never a duplicate and stays; a text whose bytes all
-repeat elsewhere stays as an empty text; n_chars follows the text.
+Every stage but the last returns the columns of documents. A null doc_id is never a duplicate and stays; of rows equal in doc_id and
+text one stays; rows of one doc_id with different texts are one document to near_duplicates, linked by any of its texts: all stay or
+all go. To repeated_strings they are one document too, which takes nothing from itself. A text whose bytes all repeat elsewhere stays
+as an empty text; n_chars follows the text. The other stages judge each row by its own text.
 """
 
 from __future__ import annotations
@@ -30,7 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near-duplicates stays, the one with the smallest doc_id."""
     ship(spark)
     gone = minhash.near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
