@@ -11,14 +11,17 @@ from pyspark.sql import SparkSession
 import tidemark
 
 BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package's sources to the executors, once a Spark context, and bounds Arrow batches by size.
 
-    A batch of ten thousand rows, Spark's default, may be gigabytes of long texts; a bound in bytes holds for any length.
+    A batch of ten thousand rows, Spark's default, may be gigabytes of long texts; a bound in bytes holds for any length. A session
+    that has set a bound of its own keeps it.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "tidemark_shipped", False):
         return
