@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 #: Fixed values: (words, result); the first row any of whose words stands in the text holds.
 DOCUMENT_TYPES = (
-    ("presentation|event", "company_presentation"), ("annual|report|proxy", "company_financial_report"), ("sec|filing", "company_sec_filing_hub"),
-    ("earning|financial|quarter", "company_earnings_release"), ("press|news", "company_press_release"), ("investor", "company_ir_archive"),
+    (("presentation", "event"), "company_presentation"), (("annual", "report", "proxy"), "company_financial_report"), (("sec", "filing"), "company_sec_filing_hub"),
+    (("earning", "financial", "quarter"), "company_earnings_release"), (("press", "news"), "company_press_release"), (("investor",), "company_ir_archive"),
 )
 INTENTS = (
-    ("inflation|consumer_prices", "inflation_pressure"), ("rates|yield|monetary_policy", "rates_policy"), ("credit|spread", "credit_stress"), ("volatility|risk_appetite", "market_volatility"),
-    ("labor|growth|housing", "macro_growth"), ("risk_factors", "company_risk"), ("earnings|guidance|exhibit_99", "earnings_guidance"), ("legal|regulation|litigation", "legal_regulatory"),
+    (("inflation", "consumer_prices"), "inflation_pressure"), (("rates", "yield", "monetary_policy"), "rates_policy"), (("credit", "spread"), "credit_stress"), (("volatility", "risk_appetite"), "market_volatility"),
+    (("labor", "growth", "housing"), "macro_growth"), (("risk_factors",), "company_risk"), (("earnings", "guidance", "exhibit_99"), "earnings_guidance"), (("legal", "regulation", "litigation"), "legal_regulatory"),
 )
 ORIENTATIONS = (
-    ("current ratio|cur_ratio", "low_bad"), ("revenue|eps|margin|sentiment|revision|upside|growth|liquidity", "low_bad"),
-    ("risk|warning|stress|debt|credit|legal|regulatory|pressure|spread|yield level|vix|vol|inversion|cost", "high_bad"),
+    (("current ratio", "cur_ratio"), "low_bad"), (("revenue", "eps", "margin", "sentiment", "revision", "upside", "growth", "liquidity"), "low_bad"),
+    (("risk", "warning", "stress", "debt", "credit", "legal", "regulatory", "pressure", "spread", "yield level", "vix", "vol", "inversion", "cost"), "high_bad"),
 )
 #: Every row whose words stand in the text adds its tag.
 EVENT_TAGS = (
-    ("earnings|quarter|financial results|results", "earnings_release_candidate"), ("guidance|outlook|forecast", "guidance"), ("dividend|share repurchase|buyback", "capital_return"),
-    ("acquisition|merger|divestiture|spin-off|spinoff", "mna"), ("lawsuit|litigation|regulatory|investigation", "legal_regulatory"),
+    (("earnings", "quarter", "financial results", "results"), "earnings_release_candidate"), (("guidance", "outlook", "forecast"), "guidance"), (("dividend", "share repurchase", "buyback"), "capital_return"),
+    (("acquisition", "merger", "divestiture", "spin-off", "spinoff"), "mna"), (("lawsuit", "litigation", "regulatory", "investigation"), "legal_regulatory"),
 )
 RISK_TERMS = ("inflation", "interest rates", "supply chain", "litigation", "regulation", "recession", "credit", "demand", "margin", "foreign exchange", "oil", "commodity")
 #: Fixed values: (measure, points, test, bound) of each card in order; the first row of a measure that holds gives its points, "else" always.
@@ -41,17 +41,17 @@ CARDS = {
 }
 
 
-def first_rule(text: Column, rules: tuple[tuple[str, str], ...], default: str | Column) -> Column:
+def first_rule(text: Column, rules: tuple[tuple[tuple[str, ...], str], ...], default: str | Column) -> Column:
     lowered, out = F.lower(F.coalesce(text, F.lit(""))), None
     for words, result in rules:
         test = F.lit(False)
-        for w in words.split("|"):
+        for w in words:
             test = test | lowered.contains(w)
         out = F.when(test, result) if out is None else out.when(test, result)
     return out.otherwise(default)
 
 
-def all_rules(text: Column, rules: tuple[tuple[str, str], ...], *always: str) -> Column:
+def all_rules(text: Column, rules: tuple[tuple[tuple[str, ...], str], ...], *always: str) -> Column:
     """Sorted tags of every rule that holds, and those that are always given."""
     tags = [first_rule(text, (r,), F.lit(None).cast("string")) for r in rules]
     return F.array_sort(F.array_compact(F.array(*[F.lit(a) for a in always], *tags)))

@@ -83,35 +83,35 @@ def document_features(rows: DataFrame) -> DataFrame:
 #: Fixed values: (series, test, bound, direction, risk, uncertainty, sentiment, opportunity, relevance, signals); the first row of a
 #: series whose test holds is its rule, "" holds always.
 MACRO_RULES = (
-    ("T10Y2Y", "<", -0.25, "negative", 0.85, 0.35, -0.65, 0.0, 0.85, "macro_rates credit"),
-    ("T10Y2Y", "<", 0.25, "mixed", 0.55, 0.35, -0.20, 0.1, 0.75, "macro_rates credit"),
-    ("T10Y2Y", ">=", 1.0, "positive", 0.20, 0.20, 0.35, 0.35, 0.75, "macro_rates credit"),
-    ("T10Y2Y", "", None, "neutral", 0.35, 0.25, 0.05, 0.15, 0.65, "macro_rates credit"),
-    ("DGS10 DGS2 FEDFUNDS", ">=", 4.5, "negative", 0.75, 0.30, -0.55, 0.0, 0.85, "macro_rates credit"),
-    ("DGS10 DGS2 FEDFUNDS", ">=", 3.0, "mixed", 0.50, 0.25, -0.20, 0.10, 0.75, "macro_rates credit"),
-    ("DGS10 DGS2 FEDFUNDS", "<=", 0.5, "mixed", 0.35, 0.30, 0.10, 0.25, 0.65, "macro_rates credit"),
-    ("DGS10 DGS2 FEDFUNDS", "", None, "neutral", 0.30, 0.20, 0.05, 0.15, 0.65, "macro_rates"),
-    ("VIXCLS", ">=", 30, "negative", 0.85, 0.55, -0.75, 0.0, 0.90, "market_volatility"),
-    ("VIXCLS", ">=", 20, "mixed", 0.55, 0.35, -0.25, 0.05, 0.75, "market_volatility"),
-    ("VIXCLS", "<=", 15, "positive", 0.20, 0.15, 0.35, 0.25, 0.65, "market_volatility"),
-    ("VIXCLS", "", None, "neutral", 0.35, 0.25, 0.0, 0.1, 0.65, "market_volatility"),
-    ("BAMLH0A0HYM2", ">=", 6, "negative", 0.85, 0.45, -0.70, 0.0, 0.90, "credit"),
-    ("BAMLH0A0HYM2", ">=", 4, "mixed", 0.60, 0.35, -0.30, 0.05, 0.80, "credit"),
-    ("BAMLH0A0HYM2", "", None, "positive", 0.25, 0.20, 0.30, 0.25, 0.70, "credit"),
-    ("DCOILWTICO", ">=", 100, "mixed", 0.60, 0.35, -0.15, 0.20, 0.80, "energy inflation margin_pressure"),
-    ("DCOILWTICO", "<=", 40, "mixed", 0.55, 0.35, -0.20, 0.10, 0.75, "energy labor_growth"),
-    ("DCOILWTICO", "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, "energy inflation"),
-    ("CPIAUCSL", "", None, "neutral", 0.35, 0.25, 0.0, 0.0, 0.70, "inflation margin_pressure"),
-    ("UNRATE", ">=", 7, "negative", 0.80, 0.35, -0.65, 0.0, 0.85, "labor_growth consumer_demand"),
-    ("UNRATE", "<=", 4, "positive", 0.25, 0.20, 0.35, 0.30, 0.70, "labor_growth consumer_demand margin_pressure"),
-    ("UNRATE", "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, "labor_growth consumer_demand"),
-    ("HOUST", "<=", 900, "negative", 0.65, 0.35, -0.45, 0.0, 0.75, "housing labor_growth"),
-    ("HOUST", ">=", 1500, "positive", 0.30, 0.25, 0.30, 0.30, 0.70, "housing labor_growth"),
-    ("HOUST", "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, "housing"),
-    ("PAYEMS INDPRO", "", None, "neutral", 0.30, 0.25, 0.0, 0.15, 0.65, "labor_growth consumer_demand"),
+    (("T10Y2Y",), "<", -0.25, "negative", 0.85, 0.35, -0.65, 0.0, 0.85, ("macro_rates", "credit")),
+    (("T10Y2Y",), "<", 0.25, "mixed", 0.55, 0.35, -0.20, 0.1, 0.75, ("macro_rates", "credit")),
+    (("T10Y2Y",), ">=", 1.0, "positive", 0.20, 0.20, 0.35, 0.35, 0.75, ("macro_rates", "credit")),
+    (("T10Y2Y",), "", None, "neutral", 0.35, 0.25, 0.05, 0.15, 0.65, ("macro_rates", "credit")),
+    (("DGS10", "DGS2", "FEDFUNDS"), ">=", 4.5, "negative", 0.75, 0.30, -0.55, 0.0, 0.85, ("macro_rates", "credit")),
+    (("DGS10", "DGS2", "FEDFUNDS"), ">=", 3.0, "mixed", 0.50, 0.25, -0.20, 0.10, 0.75, ("macro_rates", "credit")),
+    (("DGS10", "DGS2", "FEDFUNDS"), "<=", 0.5, "mixed", 0.35, 0.30, 0.10, 0.25, 0.65, ("macro_rates", "credit")),
+    (("DGS10", "DGS2", "FEDFUNDS"), "", None, "neutral", 0.30, 0.20, 0.05, 0.15, 0.65, ("macro_rates",)),
+    (("VIXCLS",), ">=", 30, "negative", 0.85, 0.55, -0.75, 0.0, 0.90, ("market_volatility",)),
+    (("VIXCLS",), ">=", 20, "mixed", 0.55, 0.35, -0.25, 0.05, 0.75, ("market_volatility",)),
+    (("VIXCLS",), "<=", 15, "positive", 0.20, 0.15, 0.35, 0.25, 0.65, ("market_volatility",)),
+    (("VIXCLS",), "", None, "neutral", 0.35, 0.25, 0.0, 0.1, 0.65, ("market_volatility",)),
+    (("BAMLH0A0HYM2",), ">=", 6, "negative", 0.85, 0.45, -0.70, 0.0, 0.90, ("credit",)),
+    (("BAMLH0A0HYM2",), ">=", 4, "mixed", 0.60, 0.35, -0.30, 0.05, 0.80, ("credit",)),
+    (("BAMLH0A0HYM2",), "", None, "positive", 0.25, 0.20, 0.30, 0.25, 0.70, ("credit",)),
+    (("DCOILWTICO",), ">=", 100, "mixed", 0.60, 0.35, -0.15, 0.20, 0.80, ("energy", "inflation", "margin_pressure")),
+    (("DCOILWTICO",), "<=", 40, "mixed", 0.55, 0.35, -0.20, 0.10, 0.75, ("energy", "labor_growth")),
+    (("DCOILWTICO",), "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, ("energy", "inflation")),
+    (("CPIAUCSL",), "", None, "neutral", 0.35, 0.25, 0.0, 0.0, 0.70, ("inflation", "margin_pressure")),
+    (("UNRATE",), ">=", 7, "negative", 0.80, 0.35, -0.65, 0.0, 0.85, ("labor_growth", "consumer_demand")),
+    (("UNRATE",), "<=", 4, "positive", 0.25, 0.20, 0.35, 0.30, 0.70, ("labor_growth", "consumer_demand", "margin_pressure")),
+    (("UNRATE",), "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, ("labor_growth", "consumer_demand")),
+    (("HOUST",), "<=", 900, "negative", 0.65, 0.35, -0.45, 0.0, 0.75, ("housing", "labor_growth")),
+    (("HOUST",), ">=", 1500, "positive", 0.30, 0.25, 0.30, 0.30, 0.70, ("housing", "labor_growth")),
+    (("HOUST",), "", None, "neutral", 0.35, 0.25, 0.0, 0.15, 0.65, ("housing",)),
+    (("PAYEMS", "INDPRO"), "", None, "neutral", 0.30, 0.25, 0.0, 0.15, 0.65, ("labor_growth", "consumer_demand")),
 )
-NO_VALUE = ("neutral", 0.2, 0.3, 0.0, 0.0, 0.45, "macro_rates")
-NO_RULE = ("neutral", 0.30, 0.25, 0.0, 0.10, 0.60, "macro_rates")
+NO_VALUE = ("neutral", 0.2, 0.3, 0.0, 0.0, 0.45, ("macro_rates",))
+NO_RULE = ("neutral", 0.30, 0.25, 0.0, 0.10, 0.60, ("macro_rates",))
 
 
 def macro_series(explicit: Column, text: Column, doc_id: Column) -> Column:
@@ -132,12 +132,12 @@ def macro_rules(series: Column, value: Column) -> Column:
 
     def made(row: tuple) -> Column:
         names = ("impact_direction", "risk_intensity", "uncertainty_intensity", "sentiment_proxy", "opportunity_intensity", "action_relevance", "signals")
-        return F.struct(*[F.lit(v if isinstance(v, str) else float(v)).alias(k) for k, v in zip(names, row, strict=True)])
+        return F.struct(*[F.lit(" ".join(v) if isinstance(v, tuple) else v if isinstance(v, str) else float(v)).alias(k) for k, v in zip(names, row, strict=True)])
 
     out = F.when((series == "") | series.isNull() | value.isNull(), made(NO_VALUE))
     for names, test, bound, *row in MACRO_RULES:
         holds = {"<": value < F.lit(bound), ">=": value >= F.lit(bound), "<=": value <= F.lit(bound)}.get(test, F.lit(True)) if test else F.lit(True)
-        out = out.when(series.isin(*names.split()) & holds, made(tuple(row)))
+        out = out.when(series.isin(*names) & holds, made(tuple(row)))
     return out.otherwise(made(NO_RULE))
 
 

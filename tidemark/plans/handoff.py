@@ -87,18 +87,11 @@ def _sections(d: DataFrame, body: Column) -> DataFrame:
     return out.select("doc_id", "section_id", "item_code", F.length("body").cast("long").alias("n_chars"))
 
 
-@query("section_extract_sql", r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z \n]', '', 'g') AS b FROM documents WHERE length(text) BETWEEN 600 AND 3000 AND NOT regexp_matches(text, '(?i)item')) SELECT doc_id, 'item_1a_risk_factors' AS section_id, '1A' AS item_code, length(trim(b, ' ' || chr(10))) AS n_chars FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250 UNION ALL SELECT doc_id, 'item_7_mda', '7', length(trim(b, ' ' || chr(10))) FROM t WHERE length(trim(b, ' ' || chr(10))) >= 250""")
-def section_extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only what the SQL can say: middling texts of plain letters, as risk factors and as discussion."""
-    d = corpus(spark, sf_dir).filter("length(body) BETWEEN 600 AND 3000 AND NOT body RLIKE '(?i)item'")
-    return _sections(d, F.regexp_replace("body", "[^A-Za-z \n]", "")).filter("section_id <> 'full_filing'")
-
-
 #: Days of a series that events stand for.
 _DAYS = 3000
 
 
-@query("macro_documents")
+@query("macro_documents", f"SELECT 'official_macro_' || CASE WHEN event_id < {_DAYS} THEN 'unrate' ELSE 'series' || (event_id // {_DAYS}) END || '_' || CAST(DATE '2020-01-01' + CAST(event_id % {_DAYS} AS INT) AS VARCHAR) AS doc_id, CAST(DATE '2020-01-01' + CAST(event_id % {_DAYS} + 5 AS INT) AS VARCHAR) || ' 14:00:00' AS available_at FROM events WHERE value IS NOT NULL")
 def macro_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is an observation: _DAYS days of UNRATE, then as many of each further series."""
     return _macro(table(spark, sf_dir, "events"))
@@ -111,12 +104,6 @@ def _macro(events: DataFrame) -> DataFrame:
     return files.macro_documents(obs, 5).select("doc_id", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
 
 
-@query("macro_documents_sql", "SELECT 'official_macro_unrate_' || CAST(DATE '2020-01-01' + CAST(event_id AS INT) AS VARCHAR) AS doc_id, CAST(DATE '2020-01-01' + CAST(event_id + 5 AS INT) AS VARCHAR) || ' 14:00:00' AS available_at FROM events WHERE event_id < 500")
-def macro_documents_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL says: the first 500 events."""
-    return _macro(table(spark, sf_dir, "events").filter("event_id < 500"))
-
-
 @query("date_universe", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, string_agg(DISTINCT 'T' || (user_id % 29), '|' ORDER BY 'T' || (user_id % 29)) AS tickers FROM events GROUP BY 1")
 def date_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), F.concat(F.lit("T"), (F.col("user_id") % 29).cast("string")).alias("tic"))

@@ -27,7 +27,7 @@ def label_export_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_labels(_pool(spark, sf_dir), fallback=True)[1]
 
 
-_FACING = "CASE " + " ".join(f"WHEN regexp_matches(k, '{w}') THEN '{r}'" for w, r in rules.ORIENTATIONS) + " ELSE 'neutral' END"
+_FACING = "CASE " + " ".join(f"WHEN regexp_matches(k, '{'|'.join(w)}') THEN '{r}'" for w, r in rules.ORIENTATIONS) + " ELSE 'neutral' END"
 _KEYS = ("risk_score", "eps_revision", "doc_count", "upside", "vix_vol")
 
 
@@ -92,31 +92,20 @@ def feed_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first(column: str, table_: tuple, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({column}, '{x}')" for x in w.split("|")) + f" THEN '{r}'" for w, r in table_) + f" ELSE {default} END"
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({column}, '{x}')" for x in w) + f" THEN '{r}'" for w, r in table_) + f" ELSE {default} END"
 
 
 _SAID = ("Annual Report 2019", "Quarterly earnings and outlook", "press: merger talks", "SEC filing, litigation", "investor day", "rates and yield", "dividend, oil demand", "nothing")
-SAID = f"said AS (SELECT doc_id, lower({list(_SAID)!r}[doc_id % 8 + 1]) AS t, CASE WHEN doc_id % 2 = 0 THEN 'portfolio' ELSE 'stock' END AS layer FROM documents)"
+SAID = f"said AS (SELECT doc_id, lower(concat_ws(' ', text, {list(_SAID)!r}[doc_id % 8 + 1])) AS t, CASE WHEN doc_id % 2 = 0 THEN 'portfolio' ELSE 'stock' END AS layer FROM documents)"
 
 
-def _ruled(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    t = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % 8 + 1).cast("int"))
-    t = F.concat_ws(" ", "body", t) if whole else t
-    layer = F.when(F.col("doc_id") % 2 == 0, "portfolio").otherwise("stock")
-    return corpus(spark, sf_dir).select("doc_id", rules.first_rule(t, rules.DOCUMENT_TYPES, "company_official_archive").alias("document_type"), rules.intent(t, layer).alias("intent"), F.array_join(rules.all_rules(t, rules.EVENT_TAGS, "company_official"), "|").alias("event_tags"), F.array_join(rules.risk_terms(t), "|").alias("risk_terms"))
-
-
-@query("text_rules")
+@query("text_rules", f"""WITH {SAID} SELECT doc_id, {_first("t", rules.DOCUMENT_TYPES, "'company_official_archive'")} AS document_type, {_first("t", rules.INTENTS, "CASE WHEN layer = 'portfolio' THEN 'macro_growth' ELSE 'company_risk' END")} AS intent,
+  array_to_string(list_sort(list_filter(['company_official', {', '.join(_first("t", (r,), 'NULL') for r in rules.EVENT_TAGS)}], lambda x: x IS NOT NULL)), '|') AS event_tags, array_to_string(list_filter({list(rules.RISK_TERMS)!r}, lambda x: contains(t, x)), '|') AS risk_terms FROM said""")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, with a phrase after each so that rules hold."""
-    return _ruled(spark, sf_dir, True)
-
-
-@query("text_rules_sql", f"""WITH {SAID} SELECT doc_id, {_first("t", rules.DOCUMENT_TYPES, "'company_official_archive'")} AS document_type, {_first("t", rules.INTENTS, "CASE WHEN layer = 'portfolio' THEN 'macro_growth' ELSE 'company_risk' END")} AS intent,
-  array_to_string(list_sort(list_filter(['company_official', {', '.join(_first("t", (r,), 'NULL') for r in rules.EVENT_TAGS)}], lambda x: x IS NOT NULL)), '|') AS event_tags, array_to_string(list_filter({list(rules.RISK_TERMS)!r}, lambda x: contains(t, x)), '|') AS risk_terms FROM said""")
-def text_rules_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL says: the phrases alone."""
-    return _ruled(spark, sf_dir, False)
+    t = F.concat_ws(" ", "body", F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % 8 + 1).cast("int")))
+    layer = F.when(F.col("doc_id") % 2 == 0, "portfolio").otherwise("stock")
+    return corpus(spark, sf_dir).select("doc_id", rules.first_rule(t, rules.DOCUMENT_TYPES, "company_official_archive").alias("document_type"), rules.intent(t, layer).alias("intent"), F.array_join(rules.all_rules(t, rules.EVENT_TAGS, "company_official"), "|").alias("event_tags"), F.array_join(rules.risk_terms(t), "|").alias("risk_terms"))
 
 
 def _card_sql(name: str) -> str:

@@ -65,21 +65,14 @@ def _found(d: DataFrame) -> DataFrame:
     return d.withColumn("score", F.round(F.col("lexical") + 1.15 * F.col("severity") + 0.30 * F.col("credibility") + F.col("entity"), 6)).filter("score > 0")
 
 
-@query("web_search")
+@query("web_search", f"""WITH {CORPUS}, s AS (SELECT doc_id, source, available_at, ({_LEX})::DOUBLE AS lexical, severity, credibility, CASE WHEN list_contains(tickers, 'T3') THEN 6.0 WHEN len(tickers) = 0 THEN -4.0 ELSE -10.0 END::DOUBLE AS entity FROM corpus),
+f AS (SELECT *, round(lexical + 1.15 * severity + 0.30 * credibility + entity, 6) AS score FROM s) SELECT doc_id, source, lexical, entity, score, row_number() OVER (ORDER BY score DESC, available_at DESC, doc_id DESC) AS rank FROM f WHERE score > 0""")
 def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents searched and ranked."""
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return L.ranked_overall(_found(corpus(spark, sf_dir)), "score", "available_at", [F.desc("doc_id")], slices).select("doc_id", "source", "lexical", "entity", "score", "rank")
 
 
-@query("web_search_sql", f"""WITH {CORPUS}, s AS (SELECT doc_id, source, available_at, ({_LEX})::DOUBLE AS lexical, severity, credibility, CASE WHEN list_contains(tickers, 'T3') THEN 6.0 WHEN len(tickers) = 0 THEN -4.0 ELSE -10.0 END::DOUBLE AS entity FROM corpus WHERE available_at <= TIMESTAMP '2020-02-01'),
-f AS (SELECT *, round(lexical + 1.15 * severity + 0.30 * credibility + entity, 6) AS score FROM s) SELECT doc_id, source, lexical, entity, score, row_number() OVER (ORDER BY score DESC, available_at DESC, doc_id DESC) AS rank FROM f WHERE score > 0""")
-def web_search_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL says: documents of the first month."""
-    d = corpus(spark, sf_dir).filter(F.col("available_at") <= F.lit("2020-02-01").cast("timestamp_ntz"))
-    return L.ranked(_found(d), [], [F.desc("score"), F.desc("available_at"), F.desc("doc_id")]).select("doc_id", "source", "lexical", "entity", "score", "rank")
-
-
 @query("prefix_search", f"WITH {CORPUS} SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest({tokens_sql('body')}) AS term FROM corpus) WHERE starts_with(term, 'than') OR starts_with(term, 'ciu') GROUP BY doc_id")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.prefix_search(R.postings(corpus(spark, sf_dir)), ["than", "ciu"])

@@ -12,13 +12,13 @@ from tidemark.plans.roles import CORPUS, corpus
 #: The corpus has invented words, so words of the lists are put into its texts by id.
 _PHRASES = ("strong growth beat", "weak demand, recession risk", "interest rate 4.5% outlook", "crude oil shortage may fall", "dividend buyback", "")
 _CASES = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES))
-ROWS = f"""rows_ AS (SELECT doc_id, tickers, available_at, source, severity, credibility, event_tags, lower(' ' || substr(body, 1, 400) || ' ' || CASE doc_id % 6 {_CASES} END || ' ' || array_to_string(event_tags, ' ') || ' risk guidance') AS t FROM corpus)"""
+ROWS = f"""rows_ AS (SELECT doc_id, tickers, available_at, source, severity, credibility, event_tags, lower(' ' || coalesce(body, '') || ' ' || CASE doc_id % 6 {_CASES} END || ' ' || array_to_string(event_tags, ' ') || ' risk guidance') AS t FROM corpus)"""
 
 
-def rows(spark: SparkSession, sf_dir: str, body: str = "body") -> DataFrame:
-    """Documents with a phrase after the whole body, or after what `body` says."""
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a phrase after the whole body."""
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = corpus(spark, sf_dir).withColumn("body", F.concat_ws(" ", F.expr(body), phrase))
+    d = corpus(spark, sf_dir).withColumn("body", F.concat_ws(" ", "body", phrase))
     return d.withColumns({"title": F.lit(""), "risk_terms": F.array(F.lit("risk")), "intent": F.lit("guidance"), "source_type": F.lit("news"), "macro_relevance": F.lit(0.0)})
 
 
@@ -44,24 +44,15 @@ COLUMNS = ["sentiment_proxy", "risk_intensity", "opportunity_intensity", "uncert
 _DIRECTION = "CASE WHEN sentiment_proxy >= 0.18 AND risk_intensity < 0.35 THEN 'positive' WHEN sentiment_proxy <= -0.18 OR risk_intensity >= 0.65 THEN 'negative' WHEN abs(sentiment_proxy) < 0.08 AND risk_intensity < 0.30 THEN 'neutral' ELSE 'mixed' END"
 
 
-#: The SQL reads the first 400 characters only; the _sql queries say the same, the others read whole texts.
-_HEAD = "substring(body, 1, 400)"
-
-
 def _features(d: DataFrame) -> DataFrame:
     return T.document_features(d).select("doc_id", *COLUMNS, "impact_direction", *[f"signal_{k}" for k in T.SIGNALS])
 
 
-@query("document_features")
+@query("document_features", f"WITH {CORPUS}, {FEATURES} SELECT doc_id, {', '.join(COLUMNS)}, {_DIRECTION} AS impact_direction, {', '.join(f'signal_{k}' for k in T.SIGNALS)} FROM f")
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(rows(spark, sf_dir))
 
 
-@query("document_features_sql", f"WITH {CORPUS}, {FEATURES} SELECT doc_id, {', '.join(COLUMNS)}, {_DIRECTION} AS impact_direction, {', '.join(f'signal_{k}' for k in T.SIGNALS)} FROM f")
-def document_features_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(rows(spark, sf_dir, _HEAD))
-
-
 MEANS = {"risk_intensity": "avg_risk", "sentiment_proxy": "avg_sentiment", "action_relevance": "avg_relevance"}
 SIGNALS = ["signal_macro_rates", "signal_energy", "signal_company_risk"]
 
@@ -71,16 +62,11 @@ def _daily(d: DataFrame) -> DataFrame:
     return T.daily_features(f, ["date", "tic"], "stock", MEANS, SIGNALS)
 
 
-@query("daily_text_features")
-def daily_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(rows(spark, sf_dir))
-
-
-@query("daily_text_features_sql", f"""WITH {CORPUS}, {FEATURES}, e AS (SELECT *, CAST(CAST(available_at AS DATE) AS VARCHAR) AS date, greatest(severity, 0.05) * greatest((doc_id % 97) / 97.0::DOUBLE, 0.01) AS w, unnest(tickers) AS tic FROM f)
+@query("daily_text_features", f"""WITH {CORPUS}, {FEATURES}, e AS (SELECT *, CAST(CAST(available_at AS DATE) AS VARCHAR) AS date, greatest(severity, 0.05) * greatest((doc_id % 97) / 97.0::DOUBLE, 0.01) AS w, unnest(tickers) AS tic FROM f)
 SELECT date, tic, count(*) AS stock_doc_count, count(DISTINCT doc_id) AS stock_unique_doc_count, {', '.join(f'round(coalesce(sum({c} * w) / sum(w), 0), 6) AS stock_{n}' for c, n in MEANS.items())}, round(max(severity), 6) AS stock_max_severity,
   {', '.join(f'CAST(sum({s}) AS BIGINT) AS stock_{s}_count' for s in SIGNALS)}, {', '.join(f'max(CAST({s} > 0 AS INT)) AS stock_{s}_flag' for s in SIGNALS)} FROM e GROUP BY ALL""")
-def daily_text_features_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(rows(spark, sf_dir, _HEAD))
+def daily_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(rows(spark, sf_dir))
 
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +93,13 @@ _SCALE = (0.001, 0.004, 0.03, 0.006, 0.1, 0.2, 0.007, 1.6, 1.0, 1.0, 1.0)
 
 
 def _macro_sql() -> str:
-    when = ["WHEN series = '' OR value IS NULL THEN " + repr(T.NO_VALUE)]
+    one = lambda row: (*row[:-1], " ".join(row[-1]))
+    when = ["WHEN series = '' OR value IS NULL THEN " + repr(one(T.NO_VALUE))]
     for names, test, bound, *row in T.MACRO_RULES:
-        when.append(f"WHEN series IN ({', '.join(repr(n) for n in names.split())})" + (f" AND value {test} {bound}" if test else "") + f" THEN {tuple(row)!r}")
-    cases = "CASE " + " ".join(when) + f" ELSE {T.NO_RULE!r} END"
+        when.append(f"WHEN series IN ({', '.join(repr(n) for n in names)})" + (f" AND value {test} {bound}" if test else "") + f" THEN {one(tuple(row))!r}")
+    cases = "CASE " + " ".join(when) + f" ELSE {one(T.NO_RULE)!r} END"
     names = ("impact_direction", "risk_intensity", "uncertainty_intensity", "sentiment_proxy", "opportunity_intensity", "action_relevance", "signals")
-    for row in [T.NO_VALUE, T.NO_RULE, *[tuple(r[3:]) for r in T.MACRO_RULES]]:
+    for row in map(one, [T.NO_VALUE, T.NO_RULE, *[tuple(r[3:]) for r in T.MACRO_RULES]]):
         packed = "{" + ", ".join(f"'{k}': {v!r}" + ("" if isinstance(v, str) else "::DOUBLE") for k, v in zip(names, row, strict=True)) + "}"
         cases = cases.replace(f"THEN {row!r}", f"THEN {packed}").replace(f"ELSE {row!r}", f"ELSE {packed}")
     series = "[" + ", ".join(repr(s) for s in _SERIES) + "]"
