@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
+#: First words of names that are looked up in a list; more are joined.
+FEW = 1000
 
 
 def phrase_words(text: Column) -> Column:
@@ -26,7 +28,12 @@ def link_phrases(docs: DataFrame, names: DataFrame, doc: str = "doc_id", text: s
     own = docs.select(doc, phrase_words(F.col(text)).alias("text_words"))
     own = own.withColumn("followed", F.transform("text_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     longest = words.agg(F.max(F.size("words")).alias("longest"))
-    places = own.crossJoin(F.broadcast(longest)).select(doc, F.explode(F.transform("followed", lambda x: F.struct(x["w"].alias("first"), F.slice("text_words", x["i"] + 1, F.col("longest")).alias("run")))).alias("p"))
+    begins = F.col("followed")
+    if first.limit(FEW + 1).count() <= FEW:  # places where no name begins go before they are rows
+        longest = words.agg(F.max(F.size("words")).alias("longest"), F.collect_set("first").alias("firsts"))
+        begins = F.filter("followed", lambda x: F.array_contains("firsts", x["w"]))
+    runs = F.transform(begins, lambda x: F.struct(x["w"].alias("first"), F.slice("text_words", x["i"] + 1, F.col("longest")).alias("run")))
+    places = own.crossJoin(F.broadcast(longest)).select(doc, F.explode(runs).alias("p"))
     places = places.select(doc, "p.first", "p.run").join(first, "first", "left_semi")
     hits = places.join(words, "first").filter(F.slice("run", F.lit(1), F.size("words")) == F.col("words"))
     return hits.select(doc, "entity").distinct()

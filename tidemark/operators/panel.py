@@ -48,12 +48,31 @@ def train_flag(value: Column, threshold: Column, above: bool = True) -> Column:
     return F.coalesce((value >= threshold if above else value <= threshold).cast("int"), F.lit(0))
 
 
+def calendar(days: DataFrame, key: str = "tic", day: str = "date") -> DataFrame:
+    """A row for each calendar day (on_day) of each key up to its last trading day: the trading day on or after it, with its columns.
+
+    A trading day stands for the days since the one before, so there are as many rows as calendar days, and any event finds its
+    trading day by equality of key and day. Days before a key's first trading day are not listed; first_day says which it is.
+    """
+    w = Window.partitionBy(key).orderBy(day)
+    since = F.coalesce(F.date_add(F.lag(day).over(w), 1), F.col(day))
+    return days.withColumns({"first_day": F.first(day).over(w), "since": since}).withColumn("on_day", F.explode(F.sequence("since", F.col(day)))).drop("since")
+
+
+def on_trading_days(events: DataFrame, days: DataFrame, key: str = "tic", when: str = "event_date", day: str = "date") -> DataFrame:
+    """events with the columns of the first trading day on or after each; events after the last day drop out."""
+    listed = calendar(days, key, day)
+    first = listed.groupBy(key).agg(F.min("first_day").alias("from_day"))
+    asked = events.join(first, key).withColumn("on_day", F.greatest(F.col(when), F.col("from_day"))).drop("from_day")
+    return asked.join(listed.drop("first_day"), [key, "on_day"]).drop("on_day")
+
+
 def first_day_on_or_after(events: DataFrame, days: DataFrame, key: str = "tic", when: str = "event_date", day: str = "date") -> DataFrame:
-    """Adds trading_date, null after the last day. Events and days are sorted together, so no event meets every day."""
-    both = events.withColumns({"is_day": F.lit(0), "at": F.col(when)}).unionByName(days.select(key, F.col(day).alias("at")).distinct().withColumn("is_day", F.lit(1)), allowMissingColumns=True)
-    later = Window.partitionBy(key).orderBy(F.col("at"), F.col("is_day")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("is_day") == 1, F.col("at")), ignorenulls=True).over(later)
-    return both.withColumn("trading_date", found).filter("is_day = 0").drop("is_day", "at")
+    """Adds trading_date, null after the last day, and for a key without days."""
+    listed = calendar(days.select(key, day).distinct(), key, day)
+    first = listed.groupBy(key).agg(F.min("first_day").alias("from_day"))
+    asked = events.join(first, key, "left").withColumn("on_day", F.greatest(F.col(when), F.col("from_day"))).drop("from_day")
+    return asked.join(listed.select(key, "on_day", F.col(day).alias("trading_date")), [key, "on_day"], "left").drop("on_day")
 
 
 def compounded(rows: DataFrame, key: str, order: str, ret: str) -> DataFrame:
@@ -61,18 +80,11 @@ def compounded(rows: DataFrame, key: str, order: str, ret: str) -> DataFrame:
     return rows.withColumn("log_to", F.sum(F.log1p(ret)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def event_returns(events: DataFrame, panel: DataFrame, windows: dict[str, tuple[int, int]]) -> DataFrame:
-    """events (id, tic, day_no) with the return over each window, days start + 1 to end; null where the panel doesn't reach.
-
-    One join brings all places of all windows; a window's end and start are told apart by their offset.
-    """
-    offsets = sorted({o for w in windows.values() for o in w} | {-1})
-    wanted = events.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("day_no", F.col("day_no") + F.col("offset"))
-    found = wanted.join(panel.select("tic", "day_no", "log_to"), ["tic", "day_no"], "left")
-    at = found.groupBy("id").agg(*[F.max(F.when(F.col("offset") == o, F.col("log_to"))).alias(f"at_{i}") for i, o in enumerate(offsets)])
-    place = {o: F.col(f"at_{i}") for i, o in enumerate(offsets)}
-    one = lambda a, b: F.expm1(place[b] - place[a]) if a != b else F.expm1(place[b] - place[-1])
-    return at.select("id", *[one(a, b).alias(name) for name, (a, b) in windows.items()])
+def window_returns(panel: DataFrame, windows: dict[str, tuple[int, int]], key: str = "tic", order: str = "day_no") -> DataFrame:
+    """Adds the return over each window, days start + 1 to end from each row; null where the panel doesn't reach. panel has log_to."""
+    w = Window.partitionBy(key).orderBy(order)
+    at = lambda o: F.lead("log_to", o).over(w) if o >= 0 else F.lag("log_to", -o).over(w)
+    return panel.withColumns({name: F.expm1(at(b) - at(a if a != b else a - 1)) for name, (a, b) in windows.items()})
 
 
 def market(panel: DataFrame) -> DataFrame:

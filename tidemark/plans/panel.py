@@ -61,11 +61,8 @@ def _window_sql(a: int, b: int, name: str) -> str:
 e AS (SELECT id, ev.tic, p.day_no FROM ev JOIN panel p ON p.tic = ev.tic AND p.date = (SELECT min(date) FROM panel x WHERE x.tic = ev.tic AND x.date >= event_date))
 SELECT id, {', '.join(_window_sql(a, b, n) for n, (a, b) in P.EVENT_WINDOWS.items())} FROM e""")
 def event_study_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = panel(spark, sf_dir)
-    found = P.first_day_on_or_after(_events(spark, sf_dir), days).filter("trading_date IS NOT NULL")
-    events = found.join(days.select("tic", F.col("date").alias("trading_date"), "day_no"), ["tic", "trading_date"]).select("id", "tic", "day_no")
-    out = P.event_returns(events, P.compounded(days, "tic", "day_no", "ret"), P.EVENT_WINDOWS)
-    return out.select("id", *[F.round(c, 9).alias(c) for c in P.EVENT_WINDOWS])
+    days = P.window_returns(P.compounded(panel(spark, sf_dir), "tic", "day_no", "ret"), P.EVENT_WINDOWS).select("tic", "date", *P.EVENT_WINDOWS)
+    return P.on_trading_days(_events(spark, sf_dir), days).select("id", *[F.round(c, 9).alias(c) for c in P.EVENT_WINDOWS])
 
 
 @query("market_return", f"WITH {PANEL} SELECT CAST(date AS VARCHAR) AS date, round(avg(ret), 9) + 0.0 AS market_ret, count(ret) AS n FROM panel GROUP BY date")

@@ -48,8 +48,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("causal_filter", f"WITH {CORPUS}, {DECISIONS} SELECT query_id, count(*) AS n_docs, max(available_at) AS newest FROM decisions JOIN corpus ON available_at <= decision_time GROUP BY query_id")
 def causal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.causal(corpus(spark, sf_dir).select("doc_id", "available_at"), decisions(spark, sf_dir))
-    return rows.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.max("available_at").alias("newest"))
+    return R.causal_counts(corpus(spark, sf_dir).select("doc_id", "available_at"), decisions(spark, sf_dir))
 
 
 @query("lookback_join", f"WITH {CORPUS}, {DECISIONS} SELECT query_id, doc_id FROM decisions JOIN corpus ON available_at <= decision_time AND available_at >= decision_time - INTERVAL 7 DAY")
@@ -75,7 +74,8 @@ parts AS (
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, queries = corpus(spark, sf_dir), decisions(spark, sf_dir)
-    rows = R.hybrid_candidates(docs, queries.drop("query_text"), R.bm25(docs, queries), KEYWORDS)
+    hashed = docs.withColumn("cluster", X.content_hash(F.lit(""), "body"))
+    rows = R.hybrid_candidates(hashed, queries.drop("query_text"), R.bm25(docs, queries), KEYWORDS)
     return rows.withColumn("evidence_scope", R.scope(F.col("matched_tickers"), F.col("sectors")))
 
 
@@ -101,7 +101,7 @@ def ablation_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diversified_topk")
 def diversified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidates(spark, sf_dir).withColumns({"final_score": F.round(R.final_score("full_hybrid_diversified"), 6), "cluster": X.content_hash(F.lit(""), "body")})
+    rows = candidates(spark, sf_dir).withColumn("final_score", F.round(R.final_score("full_hybrid_diversified"), 6))
     return R.diversified(rows, 10).drop("matched_tickers")
 
 
