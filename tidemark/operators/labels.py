@@ -22,9 +22,9 @@ def export_labels(pool: DataFrame, fallback: bool = False) -> tuple[DataFrame, D
 
 
 def change_tone(facing: Column, change: Column, dead: float = 0.06) -> Column:
-    """Tone of a change; within the dead band, or of a series that faces neither way, neutral."""
-    up = F.when(F.abs(change) < dead, 0).otherwise(F.signum(change))
-    return F.when((facing == "neutral") | (up == 0), "neutral").when((up > 0) == (facing == "low_bad"), "positive").otherwise("negative")
+    """Tone of a change: neutral within the dead band; a warning where it goes the bad way; a fall of what faces neither way is neutral."""
+    up = change > 0
+    return F.when(F.abs(change) < dead, "neutral").when(facing == "high_bad", F.when(up, "warning").otherwise("positive")).when(facing == "low_bad", F.when(up, "positive").otherwise("warning")).otherwise(F.when(up, "positive").otherwise("neutral"))
 
 
 def return_direction(value: Column, threshold: float) -> Column:

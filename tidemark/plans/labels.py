@@ -31,7 +31,7 @@ _FACING = "CASE " + " ".join(f"WHEN regexp_matches(k, '{'|'.join(w)}') THEN '{r}
 _KEYS = ("risk_score", "eps_revision", "doc_count", "upside", "vix_vol")
 
 
-@query("chart_tones", f"WITH s AS (SELECT event_id, {list(_KEYS)!r}[event_id % 5 + 1] AS k, round(sin(event_id) / 5, 6) AS ch FROM events), f AS (SELECT *, {_FACING} AS facing FROM s) SELECT event_id, facing, CASE WHEN facing = 'neutral' OR abs(ch) < 0.06 THEN 'neutral' WHEN (ch > 0) = (facing = 'low_bad') THEN 'positive' ELSE 'negative' END AS tone FROM f")
+@query("chart_tones", f"WITH s AS (SELECT event_id, {list(_KEYS)!r}[event_id % 5 + 1] AS k, round(sin(event_id) / 5, 6) AS ch FROM events), f AS (SELECT *, {_FACING} AS facing FROM s) SELECT event_id, facing, CASE WHEN abs(ch) < 0.06 THEN 'neutral' WHEN facing = 'high_bad' THEN CASE WHEN ch < 0 THEN 'positive' ELSE 'warning' END WHEN facing = 'low_bad' THEN CASE WHEN ch > 0 THEN 'positive' ELSE 'warning' END WHEN ch > 0 THEN 'positive' ELSE 'neutral' END AS tone FROM f")
 def chart_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", rules.first_rule(key, rules.ORIENTATIONS, "neutral").alias("facing"), F.round(F.sin("event_id") / 5, 6).alias("change"))
