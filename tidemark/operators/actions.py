@@ -127,3 +127,55 @@ def counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 def date_ranges(rows: DataFrame) -> DataFrame:
     """Documents of each ticker that comes first in its document, and their first and last date."""
     return rows.select(F.get("tickers", F.lit(0)).alias("ticker"), "published_at").filter("ticker IS NOT NULL AND ticker <> ''").groupBy("ticker").agg(F.count("*").alias("docs"), F.min("published_at").alias("first"), F.max("published_at").alias("last"))
+
+
+def eval_seed(contexts: DataFrame, features: DataFrame, per_kind: int) -> DataFrame:
+    """At most `per_kind` contexts of each source type, one a document, latest split and intent and best score first, with their features if any."""
+    order = [F.desc("split"), F.desc("intent"), F.desc("final_score"), F.asc("age_days"), F.asc("context_id")]
+    once = contexts.withColumn("own", F.row_number().over(Window.partitionBy("source_type", "doc_id").orderBy(*order))).filter("own = 1")
+    rows = once.withColumn("place", F.row_number().over(Window.partitionBy("source_type").orderBy(*order))).filter(F.col("place") <= per_kind).drop("own")
+    seed = F.concat(F.lit("source_quality:"), F.col("source_type"), F.lit(":"), F.lpad(F.col("place").cast("string"), 3, "0"))
+    return rows.join(features, "context_id", "left").withColumn("eval_id", seed)
+
+
+def adjudication(compared: DataFrame, seeds: DataFrame, predictions: DataFrame, score: str, stratum: str, size: int, least: int) -> DataFrame:
+    """The rows most in dispute: `least` of each stratum, then the highest scores up to `size`, beside their seeds and predictions."""
+    order = [F.desc(score), F.asc("teacher_id")]
+    own = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    turn = [F.asc(F.col("own") > least), F.asc(F.when(F.col("own") <= least, F.col(stratum))), *order]
+    rows = compared.withColumn("own", own).orderBy(*turn).limit(size).withColumn("rank", F.row_number().over(Window.orderBy(*turn))).drop("own")
+    return rows.join(seeds, "teacher_id", "left").join(predictions, "teacher_id", "left")
+
+
+def informative_series(points: DataFrame, kind: str = "kind", most_zero: float = 0.985) -> DataFrame:
+    """Series (series, kind, value) that aren't all zero; of text series those with fewer zeros than the bound."""
+    zero = F.avg((F.coalesce("value", F.lit(0.0)) == 0).cast("double"))
+    return points.groupBy("series", kind).agg(F.count("*").alias("points"), F.round(zero, 6).alias("zero_share")).filter((F.col("zero_share") < 1) & ((F.col(kind) != "text") | (F.col("zero_share") < most_zero)))
+
+
+def scaled(value: Column, unit: Column) -> Column:
+    """Counts on a logarithmic scale."""
+    return F.when(unit.isin("docs", "terms"), F.log1p(F.greatest(value, F.lit(0.0)))).otherwise(value)
+
+
+def text_features(columns: list[str]) -> list[str]:
+    """The columns of a panel that come from texts."""
+    return sorted(c for c in columns if c.startswith(("stock_text_", "stock_signal_", "portfolio_text_", "portfolio_signal_")))
+
+
+def lean_features(relations: DataFrame, correlations: DataFrame, portfolio: int = 6, stock: int = 6, most: float = 0.95) -> list[str]:
+    """Text features that vary and say more than where a text is from, best first, none of them nearly a copy of one before; 6 and 6.
+
+    relations has a row a feature; correlations (a, b, spearman) a row a pair of features. Both are small: there are as many as columns.
+    """
+    rows = relations.filter("train_std > 0 AND is_provenance_like = 0 AND NOT endswith(feature, '_flag') AND train_nonzero_rate < 0.999")
+    near = {frozenset((r.a, r.b)) for r in correlations.filter(F.abs("spearman") >= most).select("a", "b").collect()}
+    out: list[str] = []
+    for prefix, least, n in (("portfolio_", 0.01, portfolio), ("stock_", 0.005, stock)):
+        own = rows.filter(F.col("feature").startswith(prefix) & (F.col("train_nonzero_rate") >= least)).orderBy(F.desc("train_only_screen_score"), F.desc("best_abs_train_spearman"), "feature")
+        kept: list[str] = []
+        for r in own.select("feature").collect():
+            if not any(frozenset((r.feature, k)) in near for k in kept):
+                kept.append(r.feature)
+        out += kept[:n]
+    return out

@@ -127,3 +127,58 @@ def statement_priority(kind: Column, title: Column, text: Column) -> Column:
         point(has(k, "exhibit") | has(t, "earnings release"), 5) + point(has(t, "financial statements"), 5) + point(has(t, "management") | has(t, "mda"), 3)
         + point(F.coalesce(text, F.lit("")).rlike(r"(?i)\b(total net sales|total revenue|net income|earnings per share|gross margin)\b"), 5)
     )
+
+
+#: Words of a post's tags that stand for events, and how much its type adds.
+VIBE_EVENTS = ("earnings", "guidance", "risk", "rates", "inflation", "credit", "margin", "demand", "supply_chain", "legal_regulatory", "current_report", "8-k")
+VIBE_TYPES = ((0.35, ("sec_filing_exhibit", "company_earnings_release")), (0.15, ("sec_filing_section", "company_press_release", "company_financial_report")))
+VIBE_WEIGHTS = (("holding", 3.0), ("specific", 1.5), ("text", 1.0), ("event", 0.75), ("risk_terms", 0.35), ("quality", 0.20), ("signal", 1.20), ("edge", 0.35), ("usefulness", 2.0))
+
+
+def vibe(weights: dict[str, float], tickers: Column, tags: Column, risk_terms: Column, kind: Column, credibility: Column, text: Column, signal: Column, up: Column, risk: Column, usefulness: Column) -> Column:
+    """A post's score for a portfolio (ticker -> weight), by nine weighted components."""
+    own = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    direct = F.array_intersect(tickers, F.array(*map(F.lit, weights)))
+    held = F.least(F.lit(1.0), F.aggregate(direct, F.lit(0.0), lambda s, t: s + F.element_at(own, t)))
+    low = F.array_distinct(F.transform(F.concat(tags, risk_terms), F.lower))
+    event = F.least(F.lit(1.0), F.size(F.filter(low, lambda t: F.regexp_like(t, F.lit("|".join(VIBE_EVENTS))))) / 4.0)
+    for more, kinds in VIBE_TYPES:
+        event = F.when(F.lower(F.coalesce(kind, F.lit(""))).isin(*kinds), F.least(F.lit(1.0), event + more)).otherwise(event)
+    parts = {
+        "holding": held, "specific": F.when(F.size(direct) > 0, 1.0).otherwise(0.0), "text": text, "event": event, "risk_terms": F.least(F.lit(1.0), F.size(risk_terms) / 6.0), "quality": F.coalesce(credibility, F.lit(0.0)),
+        "signal": F.coalesce(signal, F.lit(0.0)), "edge": F.greatest(F.coalesce(up, F.lit(0.0)), F.coalesce(risk, F.lit(0.0))), "usefulness": F.coalesce(usefulness, F.lit(0.0)),
+    }
+    return F.round(sum((w * parts[n] for n, w in VIBE_WEIGHTS), F.lit(0.0)), 6)
+
+
+def result_excerpt(kind: Column, body: Column, tags: Column, at: Column, signal: Column, risk: Column, up: Column, macro: Column) -> Column:
+    """What a result shows: a macro release's own words, its signals in a sentence, or the beginning of its text."""
+    from tidemark.functions.text import excerpt
+
+    label = F.when(F.size(tags) > 0, F.array_join(tags, ", ")).otherwise(F.replace(F.coalesce(F.nullif(kind, F.lit("")), F.lit("evidence")), F.lit("_"), F.lit(" ")))
+    two = lambda c: F.coalesce(c, F.lit(0.0))
+    said = F.format_string("Signal %.2f. Risk %.2f. Upside %.2f. %s evidence available %s.", two(signal), two(risk), two(up), label, F.substring(F.coalesce(at.cast("string"), F.lit("")), 1, 10))
+    return F.when(F.lower(F.coalesce(kind, F.lit(""))).startswith("official_macro"), macro).when(two(signal) > 0, said).otherwise(excerpt(body, 220))
+
+
+def site_records(docs: DataFrame, features: DataFrame, site: str, n: int) -> DataFrame:
+    """The n documents of a site (and of hosts below it) with the strongest signals, then the newest, with how many there are in all."""
+    key = host(F.col("url"))
+    found = docs.filter((key == site) | key.endswith("." + site))
+    score = F.round(F.coalesce("signal", F.lit(0.0)) + 0.35 * F.coalesce("upside", F.lit(0.0)) + 0.35 * F.coalesce("risk", F.lit(0.0)), 9)
+    top = best(found.join(features, "doc_id", "left").withColumn("order_score", score), [F.desc("order_score"), F.desc("available_at"), F.desc("credibility"), F.asc("doc_id")], n)
+    return top.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+
+
+def lookup(docs: DataFrame, keys: DataFrame, hashed: Column, url: str = "url") -> DataFrame:
+    """The document that each key (key, kind: hash or url) names; null where there is none, the smallest doc_id where several do."""
+    named = docs.select(hashed.alias("key"), F.lit("hash").alias("kind"), "doc_id").unionByName(docs.select(F.col(url).alias("key"), F.lit("url").alias("kind"), "doc_id"))
+    first = named.join(keys, ["key", "kind"], "left_semi").groupBy("key", "kind").agg(F.min("doc_id").alias("doc_id"))
+    return keys.join(first, ["key", "kind"], "left")
+
+
+def folder_decision(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """Whether a query's results go into folders: three groups at least, and a company that it names."""
+    n = groups.groupBy("query_id").agg(F.count_distinct("group_key").alias("groups"))
+    named = entities.select("query_id").distinct().withColumn("named", F.lit(True))
+    return n.join(named, "query_id", "left").withColumn("folders", (F.col("groups") >= 3) & F.coalesce("named", F.lit(False))).drop("named")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import crawl, diagnostics, evaluation, handoff, labels, linking, panel, queues, retrieval, search, selection, signals, textfeatures  # noqa: F401
+    from tidemark.plans import crawl, diagnostics, evaluation, handoff, labels, linking, pages, panel, queues, retrieval, search, selection, signals, textfeatures  # noqa: F401
