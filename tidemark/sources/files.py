@@ -87,16 +87,13 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key the table at path hasn't; how many there were."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
+    """Appends the rows whose key the table at path hasn't; how many there were. A fault in reading the table is an error, not no table."""
     spark = df.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except (AnalysisException, Py4JJavaError):
-        known = None
-    new = df.dropDuplicates([key]) if known is None else df.dropDuplicates([key]).join(known, key, "left_anti")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = df.dropDuplicates([key])
+    if there:
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new = new.persist()
     n = new.count()
     new.write.mode("append").parquet(path)
