@@ -7,6 +7,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidemark.functions import filings
 from tidemark.operators import actions as A
 from tidemark.operators import queues as Q
 from tidemark.sources import files, packages
@@ -85,3 +86,26 @@ def test_empty_inputs(spark):
     assert Q.fit_metrics(rows, ["model"]).count() == 0
     pool = spark.createDataFrame([(1, 1, None, "g", [4]), (1, 2, 4, "g", None)], "query_id int, surface_rank int, doc_id long, group_key string, children array<bigint>")
     assert sorted((r.doc_id, r.surface_rank, r.child_rank) for r in Q.merged_pool(Q.pool_of(pool)).collect()) == [(4, 1, 1)]
+
+
+def test_sections_of_forms(spark):
+    """Codes, titles, tables of contents, places and titles that headings lack."""
+    text = "front\nPART I  ITEM 1. Financial statements 3\nItem 2\n" + "x" * 300 + "\n  Item 1A - Risk\tfactors.\n" + "y" * 260 + "\nitem 1: legal matters\nshort"
+    report = "Item 2.02 Results\nfine\nItem 3.33\nother\nITEM 2.02\nlonger than before\n" + "item 9.01\n\n" + "z" * 200
+    rows = [("a", "10-Q", text), ("b", "8-k", report), ("c", "10-K", "no items"), ("d", "10-K", "  \n"), ("e", None, None)]
+    got = filings.explode_sections(spark.createDataFrame(rows, "id string, form string, text string")).collect()
+    by = {(r.id, r.section_id): r for r in got}
+    assert set(by) == {("a", "part1_item_2_mda"), ("a", "part2_item_1a_risk_factors"), ("b", "item_2_02_results_operations_financial_condition"), ("b", "item_3_33_current_report"), ("b", "item_9_01_financial_statements_exhibits"), ("c", "full_filing")}
+    mda, risk, results = by["a", "part1_item_2_mda"], by["a", "part2_item_1a_risk_factors"], by["b", "item_2_02_results_operations_financial_condition"]
+    assert mda.title == "Management Discussion and Analysis" and mda.body == "Item 2. Management Discussion and Analysis\n" + "x" * 300
+    assert text[mda.start_char : mda.end_char].strip() == "Item 2\n" + "x" * 300 and (risk.title, risk.item_code) == ("Risk factors", "1A")
+    # White space after a code may be a line's end: a short line that follows is the title.
+    assert results.body == "Item 2.02. longer than before" and by["b", "item_3_33_current_report"].body == "Item 3.33. other"
+    assert by["b", "item_9_01_financial_statements_exhibits"].body == "Item 9.01. 8-K Item 9.01\n" + "z" * 200
+    assert (by["c", "full_filing"].body, by["c", "full_filing"].end_char) == ("no items", 8)
+
+
+def test_references(spark):
+    said = "a &amp;amp; b &lt;x&gt; &#8217;&#x2014;&rsquo;&apos; &nope; & &#0; &#55296; &eacute;t&eacute; &#128512;&"
+    got = spark.createDataFrame([(said,), (None,), ("",)], "t string").select(filings.unescape(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == ["a &amp; b <x> ’—’' &nope; & � � été 😀&", "", ""]

@@ -29,8 +29,9 @@ def test_sections_of_all_texts(spark, tmp_path):
     frame = len("Contents\nItem 1A. Risk Factors 4\nItem 7. Discussion 9\nItem 1A. Risk Factors\n") + len("\nItem 7. Discussion\n")
     want = {(i, "full_filing", frame + 2 * len(t)) for i, t in ((0, "short"), (6, "y" * 249))}
     want |= {(i, "full_filing", frame - 1) for i in (1, 2)}
-    want |= {(i, s, len(t.strip())) for i, t in ((3, long), (4, rows[4][1]), (7, "z" * 250)) for s in ("item_1a_risk_factors", "item_7_mda")}
-    want |= {(5, "item_1a_risk_factors", 400), (5, "item_7_mda", 300)}
+    first, second = len("Item 1A. Risk Factors\n"), len("Item 7. Discussion\n")  # a section begins with its heading
+    want |= {(i, s, n + len(t.strip())) for i, t in ((3, long), (4, rows[4][1]), (7, "z" * 250)) for s, n in (("item_1a_risk_factors", first), ("item_7_mda", second))}
+    want |= {(5, "item_1a_risk_factors", first + 400), (5, "item_7_mda", second + 300)}
     assert got == want
 
 
