@@ -82,8 +82,11 @@ def test_link_phrases(spark):
     assert [(r.doc_id, r.entity) for r in linking.link_phrases(docs, names).collect()] == [(1, "A")]
 
 
-def test_sections():
-    from tidemark.functions.filings import sections
+def test_sections(spark):
+    from tidemark.functions import filings
+
+    def sections(text, form):
+        return one(spark, s=filings.sections(F.lit(text).cast("string"), F.lit(form).cast("string"))).s
 
     text = "Item 1A. Risk Factors 4\nItem 7. Discussion 9\nItem 1A. Risk Factors\n" + "risk " * 80 + "\nItem 7. Discussion\nshort"
     got = sections(text, "10-K")

@@ -38,7 +38,6 @@ SECTIONS = (
 HEADING = r"(?imd)^\s*(?:part\s+[ivx]+\s+)?item\s+([0-9]\.[0-9]{2}|[0-9]{1,2}[a-z]?)\s*[.\-:–—]?\s*([^\n]{0,180})$"
 #: A character reference after its &.
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-SPACES = r"(?U)^\s+|\s+$"
 
 
 def _character(number: Column) -> Column:
@@ -87,36 +86,43 @@ def sections(text: Column, form: Column, least: int = 250) -> Column:
     and what stands between them come from one pattern, once as matches and once as what it splits, so places are sums of lengths.
     """
     text, form = F.coalesce(text, F.lit("")), F.upper(F.coalesce(form, F.lit("")))
-    found = F.lit(HEADING)
-    heads, codes, titles = (F.regexp_extract_all(text, found, F.lit(g)) for g in range(3))
     between = F.split(text, HEADING, -1)
-    zipped = F.arrays_zip(heads.alias("head"), codes.alias("code"), titles.alias("title"), F.slice(between, F.lit(2), F.greatest(F.lit(1), F.size(between))).alias("after"))
-
-    def place(state: Column, x: Column) -> Column:
-        begin, end = state["end"], state["end"] + F.length(x["head"]) + F.length(x["after"])
-        code = F.upper(F.regexp_replace(x["code"], r"\s+", ""))
-        title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["title"], r"(?U)\s+", " "), r"^[ .:\-–—\t]+|[ .:\-–—\t]+$", ""), r"\s+\d+$", ""))
-        title = F.substring(title, 1, 160)
-        current = (form == "8-K") & code.rlike(r"^\d\.\d{2}$")
-        name = F.coalesce(_of(form, code, title, 3), F.when(current, F.concat(F.lit("item_"), F.replace(code, F.lit("."), F.lit("_")), F.lit("_current_report"))), F.lit(""))
-        usual = F.coalesce(F.nullif(_of(form, code, title, 4), F.lit("")), F.concat(F.when(form == "8-K", "8-K Item ").otherwise("Item "), code))
-        shown = F.when(title == "", usual).otherwise(title)
-        body = F.regexp_replace(x["after"], SPACES, "")
-        keep = (name != "") & ((F.length(body) >= least) | (form == "8-K"))
-        whole = F.regexp_replace(F.concat(F.lit("Item "), code, F.lit(". "), shown, F.lit("\n"), body), SPACES, "")
-        one = F.struct(name.alias("section_id"), (-F.length(whole)).alias("by"), begin.alias("start_char"), code.alias("item_code"), shown.alias("title"), whole.alias("body"), end.alias("end_char"))
-        return F.struct(end.alias("end"), F.when(keep, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
-
-    kind = "array<struct<section_id:string,by:int,start_char:int,item_code:string,title:string,body:string,end_char:int>>"
-    start = F.struct(F.length(F.get(between, F.lit(0))).alias("end"), F.array().cast(kind).alias("found"))
+    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+$", "")
+    # Step by step, so that no step works out what the one before it has.
+    pieces = F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(HEADING), F.lit(0)).alias("head"), between.alias("text")), lambda x: F.struct(x["head"].alias("head"), x["text"].alias("text")))
+    read = F.transform(pieces, lambda x: F.struct(
+        F.upper(F.regexp_replace(F.regexp_extract(x["head"], HEADING, 1), r"\s+", "")).alias("code"), F.regexp_extract(x["head"], HEADING, 2).alias("title"), F.length(x["text"]).alias("before"), F.length(x["head"]).alias("size"), trimmed(x["text"]).alias("body"),
+    ))
+    clean = F.transform(read, lambda x: F.struct(
+        x["code"].alias("code"), F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["title"], r"(?U)\s+", " "), r"^[ .:\-–—\t]+|[ .:\-–—\t]+$", ""), r"\s+\d+$", "")), 1, 160).alias("title"),
+        x["before"].alias("before"), x["size"].alias("size"), x["body"].alias("body"),
+    ))
+
+    def named(x: Column) -> Column:
+        current = F.when((form == "8-K") & x["code"].rlike(r"^\d\.\d{2}$"), F.concat(F.lit("item_"), F.replace(x["code"], F.lit("."), F.lit("_")), F.lit("_current_report")))
+        usual = F.coalesce(F.nullif(_of(form, x["code"], x["title"], 4), F.lit("")), F.concat(F.when(form == "8-K", "8-K Item ").otherwise("Item "), x["code"]))
+        return F.struct(F.coalesce(_of(form, x["code"], x["title"], 3), current, F.lit("")).alias("section_id"), F.when(x["title"] == "", usual).otherwise(x["title"]).alias("title"), x["code"].alias("code"), x["before"].alias("before"), x["size"].alias("size"), x["body"].alias("body"))
+
+    found = "array<struct<section_id:string,by:int,start_char:int,item_code:string,title:string,body:string,end_char:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("id"), F.lit("").alias("code"), F.lit("").alias("title"), F.lit(0).alias("begin"), F.array().cast(found).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        """What stands before a heading is the body of the heading before it."""
+        head = F.concat(F.lit("Item "), s["code"], F.lit(". "), s["title"])
+        whole = F.when(x["body"] == "", head).otherwise(F.concat(head, F.lit("\n"), x["body"]))
+        one = F.struct(s["id"].alias("section_id"), F.lit(0).alias("by"), s["begin"].alias("start_char"), s["code"].alias("item_code"), s["title"].alias("title"), whole.alias("body"), (s["at"] + x["before"]).alias("end_char"))
+        keep = (s["id"] != "") & ((F.length(x["body"]) >= least) | (form == "8-K"))
+        at = s["at"] + x["before"]
+        return F.struct((at + F.coalesce(x["size"], F.lit(0))).alias("at"), x["section_id"].alias("id"), x["code"].alias("code"), x["title"].alias("title"), at.alias("begin"), F.when(keep, F.concat(s["found"], F.array(one))).otherwise(s["found"]).alias("found"))
+
+    candidates = F.aggregate(F.transform(clean, named), start, step, lambda s: s["found"])
+    sized = F.transform(candidates, lambda x: F.struct(x["section_id"].alias("section_id"), (-F.length(x["body"])).alias("by"), *[x[c].alias(c) for c in ("start_char", "item_code", "title", "body", "end_char")]))
+    made = lambda x: F.struct(*[x[c].alias(c) for c in ("start_char", "section_id", "item_code", "title", "body", "end_char")])
+    kind = "array<struct<start_char:int,section_id:string,item_code:string,title:string,body:string,end_char:int>>"
+    rest = F.transform(F.array(trimmed(text)), lambda t: F.when(t != "", F.struct(F.lit(0).alias("start_char"), F.lit("full_filing").alias("section_id"), F.lit("FULL").alias("item_code"), F.lit("Full Filing Text").alias("title"), t.alias("body"), F.length(text).alias("end_char"))))
     # Sorted by section, longest first, the first of each section stays.
-    ranked = F.array_sort(F.aggregate(zipped, start, place, lambda s: s["found"]))
-    best = F.filter(F.transform(ranked, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(ranked, i - 1)["section_id"]).alias("before"))), lambda y: y["before"].isNull() | (y["before"] != y["x"]["section_id"]))
-    made = lambda x: F.struct(x["start_char"].alias("start_char"), x["section_id"].alias("section_id"), x["item_code"].alias("item_code"), x["title"].alias("title"), x["body"].alias("body"), x["end_char"].alias("end_char"))
-    all_ = F.regexp_replace(text, SPACES, "")
-    rest = F.array(F.struct(F.lit(0).alias("start_char"), F.lit("full_filing").alias("section_id"), F.lit("FULL").alias("item_code"), F.lit("Full Filing Text").alias("title"), all_.alias("body"), F.length(text).alias("end_char")))
-    out = F.array_sort(F.transform(best, lambda y: made(y["x"])))
-    return F.when(F.size(out) > 0, out).when(all_ != "", rest).otherwise(F.array())
+    first = lambda s, x: F.struct(x["section_id"].alias("last"), F.when(x["section_id"] != s["last"], F.concat(s["out"], F.array(made(x)))).otherwise(s["out"]).alias("out"))
+    return F.aggregate(F.array_sort(sized), F.struct(F.lit("").alias("last"), F.array().cast(kind).alias("out")), first, lambda s: F.when(F.size(s["out"]) > 0, F.array_sort(s["out"])).otherwise(F.array_compact(rest)))
 
 
 def explode_sections(filings: DataFrame, text: str = "text", form: str = "form") -> DataFrame:

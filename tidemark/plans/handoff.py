@@ -69,7 +69,7 @@ def prediction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("html_text", r"""WITH a AS (SELECT page_id, regexp_replace(html, '<(script|style)\b.*?</(script|style)>', ' ', 'gis') AS t FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<br\s*/?>|</(?:div|p|tr|td|th|table|section|article|h[1-6])>', chr(10), 'gis'), '<[^>]+>', ' ', 'gis') AS t FROM a),
-c AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM b) SELECT page_id, array_to_string(lines, chr(10)) AS text, len(lines) AS n_lines FROM c""")
+c AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM b) SELECT page_id, array_to_string(lines, chr(10)) AS text, len(lines) AS n_lines FROM c""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "pages").select("page_id", filings.html_lines(F.col("html")).alias("text"))
     return lines.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
