@@ -266,3 +266,34 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, pa.string() if digest or text else pa.binary()) for c in columns]], names=schema.fieldNames())
 
     return own.mapInArrow(trimmed(run), schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Adds n_tokens, token_ids if asked for, ids_sha256 and decoded_sha256: each text is encoded and its ids are decoded again.
+
+    As encode and decode, but in one worker, between which no ids travel.
+    """
+    ship(df.sparkSession)
+    new = ["n_tokens", *["token_ids"] * ids, "ids_sha256", "decoded_sha256"]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
+    kinds = [T.LongType(), *[T.ArrayType(T.IntegerType(), False)] * ids, T.StringType(), T.StringType()]
+    schema = _with(df.select(*keep), *[T.StructField(n, k) for n, k in zip(new, kinds, strict=True)])
+    own = df.select(*[df[c] for c in keep], df[text].alias("text_to_encode"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path, pattern)
+        for batch in batches:
+            texts, done = batch.column(len(keep)), 0
+            for flat, counts in bpe.encode(x.as_py() for x in texts):
+                at = np.concatenate([[0], np.cumsum(counts)])
+                parts = [flat[f:e] for f, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                columns = [batch.column(i).slice(done, len(counts)) for i in range(len(keep))] + [pa.array(counts, pa.int64())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())))
+                columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in parts], pa.string()))
+                columns.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in parts], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+                done += len(counts)
+        bpe._forget()
+
+    return own.mapInArrow(trimmed(run), schema)

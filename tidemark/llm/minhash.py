@@ -320,13 +320,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most:
     bands, least, key = bands_for(percent), least_estimate(percent), ["n_shingles", "sum_a", "sum_b"]
     signed = cut(sign(docs, shingle, bands), "signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = F.min_by(F.struct("bands", "packed"), "doc_id").alias("own")
-    reps = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), first), "reps")
+    reps = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    # A set's bands and bits come with its smallest doc_id: by both, so that a frequent set is no frequent key.
+    own = cut(usable.withColumnRenamed("doc_id", "rep").join(reps, [*key, "rep"]).select("rep", "bands", "packed"), "own")
     enough = max(most, signed.count() / HOT)
-    spread = reps.select("rep", F.explode("own.bands").alias("band"))
+    spread = own.select("rep", F.explode("bands").alias("band"))
     buckets = cut(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"), "buckets")
     placed = cut(_met(spread, buckets.select("band", "n", "low"), ["band"], "n", enough), "placed")
-    small = placed.filter(F.col("n") <= most).select("rep", "band").withColumn("block", F.lit(0)).join(reps.select("rep", "own.packed"), "rep")
+    small = placed.filter(F.col("n") <= most).select("rep", "band").withColumn("block", F.lit(0)).join(own.select("rep", "packed"), "rep")
     stars = placed.filter(F.col("n") > most).select(F.col("low").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     likely = cut(_edges(small, ["band"], least).union(stars), "likely", release=True)
     hoods = components(likely)

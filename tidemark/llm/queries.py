@@ -79,7 +79,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.decode(bpe.encode(docs, *vocabulary(), keep=["doc_id"]), *vocabulary(), digest=True, keep=["doc_id", "n_tokens"])
+    return bpe.round_trip(docs, *vocabulary(), ids=False, keep=["doc_id"])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
