@@ -56,9 +56,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     ship(spark)
-    keep = ["doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids"]
-    encoded = bpe.encode(docs, *queries.vocabulary(), keep=keep[:4])
-    return bpe.decode(encoded, *queries.vocabulary(), digest=True, keep=keep)
+    return bpe.round_trip(docs, *queries.vocabulary(), keep=["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("benchmark", benchmark), ("tokens", tokens)]
