@@ -237,6 +237,18 @@ def test_bpe(spark, odd):
         coder.decode(np.array([60000]))
 
 
+def test_bpe_round_trip_in_one_pass(spark, odd):
+    path, pattern = vocabulary()
+    two = bpe.decode(bpe.encode(odd, path, pattern), path, pattern, digest=True)
+    one = bpe.round_trip(odd, path, pattern)
+    names = ["doc_id", "lang", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+    key = lambda df: sorted(map(str, df.select(*names).collect()))
+    assert key(one) == key(two) and "score" in one.columns
+    assert bpe.round_trip(odd.limit(0), path, pattern).count() == 0 and "token_ids" not in bpe.round_trip(odd, path, pattern, ids=False).columns
+    other = r"\s+|[^\s]+"
+    assert [r.t for r in bpe.decode(bpe.encode(odd.select("text"), path, other), path, other, text=True).select(F.col("decoded_text").alias("t")).collect()] == [r.text or "" for r in odd.collect()]
+
+
 def test_token_counts(spark, odd):
     lengths = [len(tiktoken_encoding().encode_ordinary(r.text or "")) for r in odd.select("text").collect()]
     hist = token_counts.histogram(token_counts.lengths(odd, *vocabulary()))
