@@ -44,7 +44,9 @@ from tidemark.llm import bytesops as B
 from tidemark.llm.runtime import cut, partitions
 from tidemark.plans.shipping import ship
 
-GRAM, BLOCK = 18, 20_000
+GRAM, BLOCK = 18, 4096
+#: Suffixes that are sorted together.
+WORK = 20_000
 #: Bytes of text whose segments are packed together.
 PACKED = 1 << 24
 #: Bytes of text to a part.
@@ -434,7 +436,7 @@ def _numbered(rows: np.ndarray) -> np.ndarray:
 FOUND = "q int, kind int, rows binary, string binary, doc long, tag long, first long"
 
 
-def compare(fetched: DataFrame, span: int, parts: int, most: int = BLOCK) -> DataFrame:
+def compare(fetched: DataFrame, span: int, parts: int, most: int = WORK) -> DataFrame:
     """Sorts the suffixes at the anchors of each part; gives ranges to remove, and for blocks of large groups one string a class."""
 
     fields = [x.split()[0] for x in FOUND.split(", ")]
@@ -522,7 +524,7 @@ def removed(docs: DataFrame, span: int, parts: int, most: int = BLOCK) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut(resolve(segments(docs, span, parts), span, parts, most), "resolved")
     _release(docs)
-    second = cut(compare(fetch(first, docs, span, parts), span, parts, most), "compared")
+    second = cut(compare(fetch(first, docs, span, parts), span, parts), "compared")
     _release(docs)
     reps = second.filter("string IS NOT NULL")
     least = reps.groupBy("string").agg(F.min("doc").alias("least"))
