@@ -340,7 +340,7 @@ def sample_pages(n: int, seed: int, families: tuple[str, ...] = FAMILIES) -> tup
 
 
 @cache
-def model(pages: int = 2400, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> dict[str, np.ndarray]:
+def model(pages: int = 4000, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> dict[str, np.ndarray]:
     """The labeller, trained once in a driver."""
     found, labels = sample_pages(pages, seed, families)
     return fit([vectors(x) for x in found if x], [y for y in labels if len(y)])
