@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import times as S
-from tidemark.operators import evaluation, linking, panel, retrieval, selection, stats
+from tidemark.operators import evaluation, linking, panel, queues, retrieval, selection, stats
 
 
 def one(spark, **columns):
@@ -24,6 +24,18 @@ def test_text(spark):
     assert (r.bad, r.inf, r.number, r.slug, r.listed) == (3.0, 0.0, -1234.5, "event_risk_off_sale", ["a", "b"])
 
 
+def test_chart_numbers(spark):
+    held = [142.35, 142.25, 0.35, 2.5, -0.04, -0.0, 5e-05, 1.005, 2.0**53 + 2, 141718415116019.6, 1e23, 1e300, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*held, None])], "i long, x double")
+    got = rows.select(*[X.fixed(F.col("x"), n, p).alias(f"n{n}p{p:d}") for n in (0, 1, 2, 4) for p in (False, True)], "i").orderBy("i").collect()
+    for x, r in zip(held, got):
+        assert [*r[:-1]] == [format(x, f"{'+' * p}.{n}f") for n in (0, 1, 2, 4) for p in (False, True)]
+    assert set(got[-1][:-1]) == {None}
+    said = {1.25e9: "1.2B", -2.25e6: "-2.2M", 1250.0: "1.2K", 142.35: "142.3", 0.005: "0.0050", 1.005: "1.00", 0.0: "0.00", None: None}
+    got = spark.createDataFrame([(x,) for x in said], "x double").select("x", queues.value_label(F.col("x"), "USD").alias("label")).collect()
+    assert {r.x: r.label for r in got} == said
+
+
 def test_times(spark):
     r = one(spark, naive=S.zoned(F.lit("2020-01-01T10:00:00")), zoned=S.zoned(F.lit("2020-01-01T10:00:00+02:00")).cast("string"), local=S.decision_time(F.lit("2020-01-02T09:30:00")).cast("string"))
     assert r.naive is None and r.zoned == "2020-01-01 08:00:00" and r.local == "2020-01-02 14:30:00"

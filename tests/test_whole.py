@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 
+import duckdb
 import pytest
 
 from tidemark.operators.textfeatures import LEXICONS
@@ -60,6 +61,16 @@ def test_macro_documents_of_all_events(spark, tmp_path):
     assert len({r.doc_id for r in got}) == len(ids) == len(got)
 
 
+def test_chart_labels_round_as_their_sql(spark, tmp_path):
+    ids = {6736: 15.51, 13512: 22.38, 44774: 2.97, 48327: 1.07, 87547: 3.4}  # shares of change that end in a half by their shortest decimal only
+    rows = [*ids.items(), (7238, -16.3815), (7250, -16.3755), (1, None), (9, None), (18, 2.4996), (3, -0.0), (27, 1e15)]
+    sf = put(spark, tmp_path, "events", rows, "event_id long, value double")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.QUERIES["chart_labels"](spark, sf).collect()}
+    assert got == set(con.execute(registry.SQL["chart_labels"]).fetchall()) and len(got) == len(rows)
+
+
 def test_text_rules_of_whole_texts(spark, tmp_path):
     from tidemark.operators import rules
     from tidemark.plans.labels import _SAID

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions import times
 from tidemark.operators import panel as P
 from tidemark.operators import rules
@@ -134,31 +135,30 @@ COUNTED = ("flag", "docs", "terms")
 def compact_number(value: Column) -> Column:
     """A number as charts write it: with B, M or K, and fewer decimals the larger it is."""
     size = F.abs(value)
-    return (
-        F.when(size >= 1e9, F.format_string("%.1fB", value / 1e9)).when(size >= 1e6, F.format_string("%.1fM", value / 1e6)).when(size >= 1e3, F.format_string("%.1fK", value / 1e3))
-        .when((size > 0) & (size < 0.01), F.format_string("%.4f", value)).when(size >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
-    )
+    by = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3).otherwise(1.0)
+    unit = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
+    return F.when((size > 0) & (size < 0.01), X.fixed(value, 4)).when(size >= 10, F.concat(X.fixed(value / by, 1), unit)).otherwise(X.fixed(value, 2))
 
 
 def value_label(value: Column, unit: str) -> Column:
     if unit == "ratio":
-        return F.format_string("%.1f%%", value * 100)
+        return F.concat(X.fixed(value * 100, 1), F.lit("%"))
     if unit == "flag":
         return F.when(value > 0, "on").otherwise("off")
     if unit in ("docs", "terms"):
-        return F.format_string(f"%.0f {unit}", value)
+        return F.concat(X.fixed(value, 0), F.lit(f" {unit}"))
     if unit == "USD":
         return compact_number(value)
     if unit == "USD/share":
-        return F.format_string("$%.2f", value)
-    return F.format_string("%.2f" + (f" {unit}" if unit and unit not in ("score", "index") else ""), value)
+        return F.concat(F.lit("$"), X.fixed(value, 2))
+    return F.concat(X.fixed(value, 2), F.lit(f" {unit}" if unit and unit not in ("score", "index") else ""))
 
 
 def change_label(first: Column, last: Column, unit: str) -> Column:
     """A change as a share of the first value; as a difference for counted units and where the first is nothing."""
-    delta = last - first
-    plain = F.format_string("%+.2f", delta)
-    return plain if unit in COUNTED else F.when(F.abs(first) > 1e-9, F.format_string("%+.1f%%", delta / F.abs(first) * 100)).otherwise(plain)
+    delta, some = last - first, F.abs(first) > 1e-9
+    plain = X.fixed(delta, 2, plus=True)
+    return plain if unit in COUNTED else F.when(some, F.concat(X.fixed(F.when(some, delta / F.abs(first) * 100), 1, plus=True), F.lit("%"))).otherwise(plain)
 
 
 def covered(rows: DataFrame, flags: list[str], by: list[str]) -> DataFrame:
